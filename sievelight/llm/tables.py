@@ -55,3 +55,18 @@ def prefix_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], nam
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def join_unique(left: DataFrame, right: DataFrame, key: str, rows: str, how: str = "inner") -> DataFrame:
+    """left joined with right, which has each key once and in column `rows` about how many rows of left have it.
+
+    Keys with over 1/256 of the rows, of which there can be 256 at most, are broadcast; the others are shuffled. So no
+    key is ever gathered in one task. `rows` is dropped; a null key joins nothing.
+    """
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    flagged = right.withColumn("_heavy", F.col(rows) * 256 > total).drop(rows)
+    keys = flagged.where("_heavy").select(F.col(key), F.lit(True).alias("_is"))
+    marked = left.join(F.broadcast(keys), key, "left")
+    often = marked.where("_is").drop("_is").join(F.broadcast(flagged.where("_heavy").drop("_heavy")), key, how)
+    seldom = marked.where("_is is null").drop("_is").join(flagged.where("not _heavy").drop("_heavy"), key, how)
+    return often.unionByName(seldom)
