@@ -44,6 +44,31 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(windows(told.unionByName(own))).withColumnRenamed("conv", "conv_id")
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify, learn, remainder
+
+    docs = table(spark, sf_dir, "documents")
+    net = learn(docs, remainder("doc_id", 5) != 0)
+    out = identify(docs.select("doc_id", "text"), net)
+    return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import remainder
+    from .toxicity import THRESHOLD, learn, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = learn(docs, table(spark, sf_dir, "labels").where(remainder("doc_id", 3) != 1))
+    out = score(docs, model)
+    return out.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_matches")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
@@ -56,6 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_urls": op3_urls,
     "op4_chat": op4_chat,
+    "op5_language": op5_language,
+    "op6_quality": op6_quality,
+    "op7_toxicity": op7_toxicity,
     "op9_sharding": op9_sharding,
 }
 ORACLE: dict[str, str] = {}

@@ -28,6 +28,11 @@ ALNUM = _table(lambda b: b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 or 65 <= b
 #: [^\x20\x09-\x0D]+
 NONSPACE = _table(lambda b: not (b == 32 or 9 <= b <= 13))
 
+#: Every byte but white space; with KINDS, runs of letters and digits apart from runs of signs.
+TOKENS = _table(lambda b: not (b == 32 or 9 <= b <= 13))
+TOKENS[65:91] = np.random.default_rng(99).integers(1, 2**63, 26, dtype=np.uint64) | np.uint64(1)
+KINDS = np.array([1 if b >= 128 or chr(b).isalnum() else 2 for b in range(256)], np.uint8)
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -78,14 +83,18 @@ def blocks(offsets: np.ndarray, size: int = BLOCK_BYTES) -> Iterator[tuple[int,
 class Words:
     """The words of documents i to j of a batch: starts, hashes, and first[k]: number of the first word of document k."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, i: int, j: int, table: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, i: int, j: int, table: np.ndarray, kinds: np.ndarray | None = None):
         base = int(offsets[i])
         self.data = data[base : int(offsets[j])]
         self.docs = offsets[i : j + 1] - base
         values = table[self.data]
         inside = values != 0
         begins = inside.copy()
-        begins[1:] &= ~inside[:-1]
+        if kinds is None:
+            begins[1:] &= ~inside[:-1]
+        else:  # a word ends where the kind of byte changes, too
+            kind = kinds[self.data]
+            begins[1:] &= ~inside[:-1] | (kind[1:] != kind[:-1])
         cuts = self.docs[:-1][self.docs[:-1] < len(self.data)]
         begins[cuts] = inside[cuts]
         self.inside, self.starts = inside, np.flatnonzero(begins)
