@@ -5,12 +5,13 @@ A document's set holds its distinct shingles of k words. Documents with equal se
 bitmap (odd sketch), whose XOR population count estimates how much two sets differ. Candidates are confirmed on the full
 sets; components of the confirmed links are the classes.
 
-No bucket is expanded into its pairs. First each member of a bucket is a candidate with one member chosen by a hash, a
-different one in each band; of each document the two best by sketch are confirmed, which joins most of any group,
-however large. Then, in each bucket whose members still lie in several components, the members outside its largest
+No bucket is expanded into its pairs. First each member of a bucket is a candidate with two members of it: one chosen by a
+hash, a different one in each band, and the most central one, whose buckets have the most members in all; that is
+the common origin, where copies differ each in their own way. Of each document the best by sketch and the best central one
+are confirmed, which joins most of any group, however large. Then, in each bucket whose members still lie in several components, the members outside its largest
 component are compared by sketch with the members of other components; what passes is confirmed. No pair that shares a
-bucket and isn't joined yet goes untested, but for those whose sketches differ by more than MOST_BITS, over five standard
-deviations from what the threshold gives.
+bucket and isn't joined yet goes untested, but for those whose sketches differ by more than MOST_BITS, over four standard
+deviations more than what the threshold gives.
 
 At similarity 0.8 a pair shares no bucket with probability (1 - 0.8**5)**40, 1.3e-7.
 
@@ -34,7 +35,7 @@ from .text import NONSPACE, Words, blocks, distinct, mix, raw
 
 BANDS, ROWS = 40, 5
 SKETCH_BITS = 512
-MOST_BITS = 122
+MOST_BITS = 112
 _R = np.random.default_rng(1109)
 _MULT = _R.integers(1, 2**32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _ADD = _R.integers(0, 2**32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
@@ -145,14 +146,21 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     member = sets.select(F.explode("bands").alias("key"), "rep")
     heads = member.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("rep", "key"), "rep")).alias("h")).where("size > 1")
-    buckets = store(member.join(heads.select("key", F.col("h.rep").alias("head")), "key"), "buckets")
+    buckets = store(member.join(heads.select("key", "size", F.col("h.rep").alias("head")), "key"), "buckets")
+    crowd = buckets.groupBy("rep").agg(F.sum("size").alias("crowd"))
+    central = buckets.join(crowd, "rep").groupBy("key").agg(F.max(F.struct("crowd", F.xxhash64("rep"), "rep")).alias("m"))
+    central = buckets.select("key", "rep").join(central.select("key", F.col("m.rep").alias("head")), "key")
 
     sketch = lambda side: sets.select(F.col("rep").alias(side), F.col("n").alias(f"{side}n"), *(F.col(s).alias(f"{side}{s}") for s in _SKETCH))
     similar = (F.least("an", "bn") * 100 >= F.greatest("an", "bn") * percent) & (_differ("a", "b") <= most_bits)
-    pairs = buckets.where("rep <> head").select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b"), "rep").distinct()
-    pairs = pairs.join(sketch("a"), "a").join(sketch("b"), "b").where(similar).select("a", "b", "rep", _differ("a", "b").alias("d"))
-    best = pairs.groupBy("rep").agg(F.min(F.struct("d", "a", "b")).alias("p"), F.max(F.struct(-F.col("d"), F.xxhash64("a", "b"), "a", "b")).alias("q"))
-    first = store(best.select(F.explode(F.array(F.struct("p.a", "p.b"), F.struct("q.a", "q.b"))).alias("p")).select("p.*").distinct(), "first")
+    pairs = buckets.select("key", "rep", "head").withColumn("mid", F.lit(0)).unionByName(central.withColumn("mid", F.lit(1))).where("rep <> head")
+    pairs = pairs.groupBy(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b"), "rep").agg(F.max("mid").alias("mid"))
+    pairs = pairs.join(sketch("a"), "a").join(sketch("b"), "b").where(similar).select("a", "b", "rep", "mid", _differ("a", "b").alias("d"))
+    best = pairs.groupBy("rep").agg(
+        F.min(F.struct("d", "a", "b")).alias("p"), F.min(F.struct(-F.col("mid"), "d", "a", "b")).alias("q"), F.min(F.struct("d", F.xxhash64("a", "b"), "a", "b")).alias("r")
+    )
+    chosen = F.array(*(F.struct(f"{x}.a", f"{x}.b") for x in "pqr"))
+    first = store(best.select(F.explode(chosen).alias("p")).select("p.*").distinct(), "first")
 
     keys = buckets.select(F.col("rep").alias("id")).distinct()
     whole = store(full_sets(docs, keys, id_col=id_col, text_col=text_col, k=k), "full_sets")
