@@ -11,7 +11,8 @@ the common origin, where copies differ each in their own way. Of each document t
 are confirmed, which joins most of any group, however large. Then, in each bucket whose members still lie in several components, the members outside its largest
 component are compared by sketch with the members of other components; what passes is confirmed. No pair that shares a
 bucket and isn't joined yet goes untested, but for those whose sketches differ by more than MOST_BITS, over four standard
-deviations more than what the threshold gives.
+deviations more than what the threshold gives, and those whose odd sketches of the whole sets differ in more bits than
+the sets of a link can differ in elements: each differing element flips one bit, so that bound loses nothing.
 
 At similarity 0.8 a pair shares no bucket with probability (1 - 0.8**5)**40, 1.3e-7.
 
@@ -39,7 +40,10 @@ MOST_BITS = 112
 _R = np.random.default_rng(1109)
 _MULT = _R.integers(1, 2**32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _ADD = _R.integers(0, 2**32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
+WHOLE_BITS = 1024
 _SKETCH = [f"s{k}" for k in range(SKETCH_BITS // 64)]
+_WHOLE = [f"w{k}" for k in range(WHOLE_BITS // 64)]
+_ALL = _SKETCH + _WHOLE
 
 
 def minhashes(values: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -62,12 +66,27 @@ def band_keys(minima: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def _parity(place: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
+    """Parity bitmaps [documents, bits / 64] of the places of each run."""
+    out = np.zeros((len(at) - 1, bits // 64), np.int64)
+    for i in range(0, len(out), 512):
+        edge = at[i : i + 513]
+        doc = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+        count = np.bincount(place[edge[0] : edge[-1]] + doc * bits, minlength=(len(edge) - 1) * bits)
+        out[i : i + 512] = np.packbits((count & 1).astype(np.uint8).reshape(-1, bits), axis=1).view(np.int64)
+    return out
+
+
 def odd_sketches(minima: np.ndarray) -> np.ndarray:
-    """[documents, SKETCH_BITS / 64] parity bitmaps."""
+    """Odd sketches of the MinHash values of each document."""
     n, k = minima.shape
-    place = (mix(minima.astype(np.uint64) + (np.arange(k, dtype=np.uint64) << np.uint64(32))) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    parity = np.bincount((place + np.arange(n)[:, None] * SKETCH_BITS).ravel(), minlength=n * SKETCH_BITS) & 1
-    return np.packbits(parity.astype(np.uint8).reshape(n, -1), axis=1).view(np.int64).reshape(n, -1)
+    place = mix(minima.astype(np.uint64) + (np.arange(k, dtype=np.uint64) << np.uint64(32))) % np.uint64(SKETCH_BITS)
+    return _parity(place.astype(np.int64).ravel(), np.arange(n + 1) * k, SKETCH_BITS)
+
+
+def whole_sketches(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Odd sketches of the sets themselves."""
+    return _parity((mix(values + np.uint64(31)) % np.uint64(WHOLE_BITS)).astype(np.int64), at, WHOLE_BITS)
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray, i: int, j: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,20 +105,20 @@ def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 n = np.diff(at)
                 full = np.flatnonzero(n)
                 f = np.zeros((j - i, 2), np.uint64)
-                bands, sketch = np.zeros((j - i, BANDS), np.int64), np.zeros((j - i, len(_SKETCH)), np.int64)
+                bands, sketch = np.zeros((j - i, BANDS), np.int64), np.zeros((j - i, len(_ALL)), np.int64)
                 if len(full):
                     starts = np.append(at[:-1][full], at[-1])
                     f[full, 0] = np.add.reduceat(mix(values), starts[:-1])
                     f[full, 1] = np.bitwise_xor.reduceat(mix(values + np.uint64(77)), starts[:-1])
                     low = minhashes(values, starts)
-                    bands[full], sketch[full] = band_keys(low), odd_sketches(low)
+                    bands[full], sketch[full] = band_keys(low), np.hstack([odd_sketches(low), whole_sketches(values, starts)])
                 where = pa.array(np.arange(0, (j - i + 1) * BANDS, BANDS, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array(n), pa.array(f[:, 0].view(np.int64)), pa.array(f[:, 1].view(np.int64)), pa.ListArray.from_arrays(where, pa.array(bands.ravel())), *(pa.array(np.ascontiguousarray(sketch[:, c])) for c in range(len(_SKETCH)))],
-                    names=["id", "n", "f0", "f1", "bands", *_SKETCH],
+                    [ids.slice(i, j - i), pa.array(n), pa.array(f[:, 0].view(np.int64)), pa.array(f[:, 1].view(np.int64)), pa.ListArray.from_arrays(where, pa.array(bands.ravel())), *(pa.array(np.ascontiguousarray(sketch[:, c])) for c in range(len(_ALL)))],
+                    names=["id", "n", "f0", "f1", "bands", *_ALL],
                 )
 
-    fields = ", ".join(["id long, n long, f0 long, f1 long, bands array<bigint>", *(f"{s} long" for s in _SKETCH)])
+    fields = ", ".join(["id long, n long, f0 long, f1 long, bands array<bigint>", *(f"{s} long" for s in _ALL)])
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, fields)
 
 
@@ -118,8 +137,8 @@ def full_sets(docs: DataFrame, keys: DataFrame, *, id_col: str, text_col: str, k
     return found.mapInArrow(run, "id long, hashes binary").dropDuplicates(["id"])
 
 
-def _differ(a: str, b: str) -> Column:
-    return sum((F.bit_count(F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}"))) for s in _SKETCH), F.lit(0))
+def _differ(a: str, b: str, words: list[str] = _SKETCH) -> Column:
+    return sum((F.bit_count(F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}"))) for s in words), F.lit(0))
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -142,7 +161,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """Per row of docs: id, n_shingles, component_id (smallest id reachable), kept."""
     rows = store(signatures(docs, id_col=id_col, text_col=text_col, k=k), "signatures")
     full = rows.where("n > 0")
-    sets = store(full.groupBy("n", "f0", "f1").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), *(F.first(s).alias(s) for s in _SKETCH)).where("rep is not null"), "sets")
+    sets = store(full.groupBy("n", "f0", "f1").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), *(F.first(s).alias(s) for s in _ALL)).where("rep is not null"), "sets")
 
     member = sets.select(F.explode("bands").alias("key"), "rep")
     heads = member.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("rep", "key"), "rep")).alias("h")).where("size > 1")
@@ -151,8 +170,9 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     central = buckets.join(crowd, "rep").groupBy("key").agg(F.max(F.struct("crowd", F.xxhash64("rep"), "rep")).alias("m"))
     central = buckets.select("key", "rep").join(central.select("key", F.col("m.rep").alias("head")), "key")
 
-    sketch = lambda side: sets.select(F.col("rep").alias(side), F.col("n").alias(f"{side}n"), *(F.col(s).alias(f"{side}{s}") for s in _SKETCH))
+    sketch = lambda side: sets.select(F.col("rep").alias(side), F.col("n").alias(f"{side}n"), *(F.col(s).alias(f"{side}{s}") for s in _ALL))
     similar = (F.least("an", "bn") * 100 >= F.greatest("an", "bn") * percent) & (_differ("a", "b") <= most_bits)
+    similar &= _differ("a", "b", _WHOLE) * (100 + percent) <= (F.col("an") + F.col("bn")) * (100 - percent)
     pairs = buckets.select("key", "rep", "head").withColumn("mid", F.lit(0)).unionByName(central.withColumn("mid", F.lit(1))).where("rep <> head")
     pairs = pairs.groupBy(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b"), "rep").agg(F.max("mid").alias("mid"))
     pairs = pairs.join(sketch("a"), "a").join(sketch("b"), "b").where(similar).select("a", "b", "rep", "mid", _differ("a", "b").alias("d"))
@@ -171,9 +191,9 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     placed = buckets.select("key", "rep").join(joined.select(F.col("v").alias("rep"), "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
     sizes = placed.groupBy("key", "c").agg(F.count("*").alias("size"))
     mixed = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("size", "c")).alias("m")).where("parts > 1").select("key", F.col("m.c").alias("main"))
-    open_ = placed.join(mixed, "key").join(sets.select("rep", "n", *_SKETCH), "rep")
+    open_ = placed.join(mixed, "key").join(sets.select("rep", "n", *_ALL), "rep")
     open_ = store(open_, "open")
-    side = lambda x: open_.select("key", "main", *(F.col(c).alias(f"{x}{c}") for c in ("rep", "c", "n", *_SKETCH)))
+    side = lambda x: open_.select("key", "main", *(F.col(c).alias(f"{x}{c}") for c in ("rep", "c", "n", *_ALL)))
     minor, other = side("a").where("ac <> main"), side("b").drop("main")
     across = minor.join(other, (minor["key"] == other["key"]) & (F.col("ac") != F.col("bc")) & ((F.col("bc") == F.col("main")) | (F.col("arep") < F.col("brep"))) & similar)
     across = across.select(F.least("arep", "brep").alias("a"), F.greatest("arep", "brep").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
