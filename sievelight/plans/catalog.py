@@ -21,6 +21,11 @@ ORACLE: dict[str, str] = {}
 FLOOR, GAP = 0.28, 0.01
 
 
+def seconds(col: str):
+    """Seconds since 1970 of a timestamp without time zone, whatever the session's zone."""
+    return F.expr(f"timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', cast({col} as timestamp_ntz))")
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -290,7 +295,7 @@ _SECONDS = "epoch_us(ts) // 1000000"
 
 
 def _events(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", F.unix_seconds("ts").alias("s"), "ts")
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", seconds("ts").alias("s"))
 
 
 @query(
@@ -381,7 +386,7 @@ _DAILY = "WITH d AS (SELECT (epoch_us(o_orderdate) // 86400000000)::BIGINT AS da
 
 
 def _daily(spark, sf_dir):
-    day = F.floor(F.unix_seconds("o_orderdate") / 86400).cast("long")
+    day = F.floor(seconds("o_orderdate") / 86400).cast("long")
     daily = table(spark, sf_dir, "orders").groupBy(day.alias("day")).agg(F.count("*").alias("n"))
     return daily.withColumn("i", F.row_number().over(Window.orderBy("day")))
 
@@ -549,7 +554,7 @@ def tolerance_checks(spark, sf_dir):
 def stream_tumbling(spark, sf_dir):
     from ..streaming import windows
 
-    return windows.drained(spark, table(spark, sf_dir, "events").schema, sf_dir, "events", lambda s: windows.tumbling(s, "ts", "6 hours", ["event_type"], "value"), "complete").select(
+    return windows.drained(spark, table(spark, sf_dir, "events").schema, sf_dir, "events", lambda s: windows.tumbling(s.withColumn("ts", F.timestamp_seconds(seconds("ts"))), "ts", "6 hours", ["event_type"], "value"), "complete").select(
         F.unix_seconds("start").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total")
     )
 
