@@ -164,6 +164,9 @@ def _search_shard(test: TestSet, codes: np.ndarray, doc: np.ndarray, first: np.n
     hit = np.repeat(search, size)
     at = shard.order[np.repeat(low, size) + np.arange(len(hit)) - np.repeat(np.cumsum(size) - size, size)]
     d = np.searchsorted(starts, at, "right") - 1
+    order = np.argsort(test.need[hit], kind="stable")  # a document that shares a window need not be a neighbour
+    better = order[test.need[hit][order] > longest[d[order]]]
+    longest[d[better]], where[d[better]] = test.need[hit][better], (at - starts[d])[better]
     return d, at - starts[d], hit, longest, where
 
 
