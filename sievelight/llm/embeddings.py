@@ -40,8 +40,8 @@ def _directions(classes: DataFrame, dim: int, sample: int) -> np.ndarray:
     got = classes.orderBy(F.xxhash64("rep", F.lit("pca")), "rep").limit(sample).select("vec").collect()
     x = np.array([r.vec for r in got], np.float64).reshape(-1, dim)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    _, _, v = np.linalg.svd(x - x.mean(0), full_matrices=True)
-    return v[: min(GRID_DIMS, dim)].T
+    _, v = np.linalg.eigh((x - x.mean(0)).T @ (x - x.mean(0)))  # in ascending order
+    return np.ascontiguousarray(v[:, ::-1][:, : min(GRID_DIMS, dim)])
 
 
 class _Side:
@@ -149,7 +149,7 @@ def _links(classes: DataFrame, dim: int, least: float, block: int, sample: int)
     return store(both.mapInArrow(run, "a long, n long, b long"), "vector_links")
 
 
-def classes(vectors: DataFrame, *, least: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 2048, sample: int = 20_000) -> DataFrame:
+def classes(vectors: DataFrame, *, least: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 2048, sample: int = 5_000) -> DataFrame:
     """Per row: id, n_links, component_id, kept."""
     v = F.col(vec_col)
     sound = F.coalesce(v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
