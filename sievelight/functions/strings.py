@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the 32 symbols of the text token.
 ALPHABET = "qpzry9x8gf2tvdw0s3jn54khce6mua7l"
+#: Fixed value: the digits of base 32 without I, L, O and U.
+BASE32 = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
 #: Generator of the token's checksum.
 GENERATOR = (0x3B6A57B2, 0x26508E6D, 0x1EA119FA, 0x3D4233DD, 0x2A1462B3)
 
@@ -51,8 +53,21 @@ def five_bits(hexed: Column, n_bytes: int) -> Column:
     return F.array(*(value(g, nib) for g in groups))
 
 
-def symbols(values: Column) -> Column:
-    return F.array_join(F.transform(values, lambda v: F.substr(F.lit(ALPHABET), v + 1, F.lit(1))), "")
+def symbols(values: Column, alphabet: str = ALPHABET) -> Column:
+    return F.array_join(F.transform(values, lambda v: F.substr(F.lit(alphabet), v + 1, F.lit(1))), "")
+
+
+def from_base32(x: Column, n_bytes: int) -> Column:
+    """Hex text of exactly n_bytes written in the digits BASE32; hyphens and white space are skipped, O is 0, I and L are 1.
+
+    Null for other characters, too few or too many of them, or bits behind the last byte that aren't zero.
+    """
+    clean = F.translate(F.upper(F.regexp_replace(x, r"[-\s]", "")), "OIL", "011")
+    place = lambda c: F.instr(F.lit(BASE32), c) - 1
+    bits = F.array_join(F.transform(F.split(clean, ""), lambda c: F.when(c == "", "").otherwise(F.lpad(F.bin(place(c)), 5, "0"))), "")
+    spare = F.length(bits) - 8 * n_bytes
+    good = clean.rlike(f"^[{BASE32}]*$") & spare.between(0, 7) & ~F.substr(bits, F.lit(8 * n_bytes + 1)).contains("1")
+    return F.when(good, F.lower(F.concat(*(F.conv(F.substring(bits, 4 * k + 1, 4), 2, 16) for k in range(2 * n_bytes)))))
 
 
 def polymod(values: Column) -> Column:

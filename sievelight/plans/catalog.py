@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import reed_solomon, strings
-from ..operators import gates, matching, scoring, sequences
+from ..operators import fits, folds, gates, matching, scoring, sequences
 from ..sources import documents as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -547,6 +547,65 @@ def tolerance_checks(spark, sf_dir):
     return m.crossJoin(F.broadcast(r)).select("c_nationkey", F.array_join(bad, ",").alias("failures"))
 
 
+# --- robust fits, folds over a page, tiles, base 32 ----------------------------------------------------------------
+
+
+@query()
+def consensus_line_fit(spark, sf_dir):
+    got = fits.consensus_line(table(spark, sf_dir, "part").withColumn("x", F.col("p_partkey") % 100), "p_brand", "x", "p_retailprice", tolerance=300.0)
+    return got.select("p_brand", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"), "n_kept")
+
+
+@query()
+def huber_line_fit(spark, sf_dir):
+    got = fits.huber_line(table(spark, sf_dir, "part"), "p_brand", "p_size", "p_retailprice")
+    return got.select("p_brand", F.round("slope", 5).alias("slope"), F.round("intercept", 5).alias("intercept"))
+
+
+def _order_lines(spark, sf_dir, *cols):
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("items"))
+
+
+@query()
+def adjacent_collapse(spark, sf_dir):
+    lines = _order_lines(spark, sf_dir, F.floor(seconds("l_shipdate") / 86400).alias("day"), "l_linenumber", "l_quantity")
+    kept = folds.collapse_adjacent(F.col("items"), lambda a, b: b["day"] - a["day"] <= 10, lambda b, a: b["l_quantity"] > a["l_quantity"])
+    return lines.select("l_orderkey", F.explode(kept).alias("i")).select("l_orderkey", "i.*")
+
+
+@query()
+def diverse_top_k(spark, sf_dir):
+    tags = F.array(F.concat(F.lit("f"), "l_returnflag"), F.concat(F.lit("s"), "l_linestatus"), F.concat(F.lit("m"), F.month("l_shipdate")))
+    lines = _order_lines(spark, sf_dir, (-F.col("l_extendedprice")).alias("worth"), "l_linenumber", "l_quantity", tags.alias("tags"))
+    kept = folds.diverse_top(F.col("items"), 5, lambda a, b: (F.size(F.array_intersect(a["tags"], b["tags"])) >= 2) & (a["l_quantity"] >= b["l_quantity"]))
+    return lines.select("l_orderkey", F.posexplode(kept).alias("place", "i")).select("l_orderkey", "place", "i.l_linenumber")
+
+
+@query(
+    """WITH RECURSIVE g AS (SELECT DISTINCT c_nationkey AS n, c_custkey % 256 AS p FROM customer),
+r(n, a, b) AS (SELECT n, p, p FROM g UNION SELECT r.n, r.a, g.p FROM r JOIN g ON g.n = r.n AND (abs(g.p - r.b) = 16 OR (g.p = r.b + 1 AND g.p % 16 <> 0) OR (g.p = r.b - 1 AND r.b % 16 <> 0))),
+c AS (SELECT n, a, min(b) AS c FROM r GROUP BY ALL), s AS (SELECT n, c, count(*) AS k FROM c GROUP BY ALL)
+SELECT n AS c_nationkey, count(*) AS components, max(k) AS largest, sum(k)::BIGINT AS total FROM s GROUP BY n"""
+)
+def components_grid(spark, sf_dir):
+    held = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.collect_set(F.col("c_custkey") % 256).alias("held"))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda k: F.array_contains("held", k.cast("long")).cast("int"))
+    return held.select("c_nationkey", folds.grid_components(cells, F.lit(16)).alias("g")).select("c_nationkey", "g.*")
+
+
+@query(
+    """WITH h AS (SELECT p_partkey, sha256(p_name)[1:10] AS h FROM part),
+b AS (SELECT p_partkey, h, array_to_string(list_transform(range(1, 11), lambda k: lpad(bin(('0x' || substr(h, k::INT, 1))::INT), 4, '0')), '') AS bits FROM h)
+SELECT p_partkey, h AS back, array_to_string(list_transform(range(0, 8), lambda k: substr('"""
+    + strings.BASE32
+    + """', (1 + list_sum(list_transform(range(0, 5), lambda j: substr(bits, (1 + 5 * k + j)::INT, 1)::INT * (16 >> j::INT))))::INT, 1)), '') AS code FROM b"""
+)
+def base32_roundtrip(spark, sf_dir):
+    h = F.substring(F.sha2("p_name", 256), 1, 10)
+    coded = table(spark, sf_dir, "part").select("p_partkey", strings.symbols(strings.five_bits(h, 5), strings.BASE32).alias("code"))
+    return coded.withColumn("back", strings.from_base32(F.col("code"), 5))
+
+
 # --- streams (an extension) ---------------------------------------------------------------------------------------
 
 
