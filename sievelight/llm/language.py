@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import bound_batches
 from .text import raw
 
 PER_LANGUAGE = 400
@@ -189,6 +190,7 @@ def learn(docs: DataFrame, usable: Column, *, id_col: str = "doc_id", text_col:
 
 def identify(docs: DataFrame, net: Network | None, *, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score; clashing columns of docs are replaced."""
+    bound_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     ready = docs.select(*names).withColumn("_letters", letters)

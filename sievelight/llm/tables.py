@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FOLDER = "spark.checkpoint.dir"
+#: Bounds of one Arrow batch: with them the memory of a Python worker depends on neither the table nor its partitions.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2_000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,9 +25,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's bounds of Arrow batches to BATCH, unless they are lower already."""
+    for name, most in BATCH.items():
+        now = spark.conf.get(name, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage ends here and a lost executor costs nothing before it."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_folder(spark)}/sievelight/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
