@@ -311,6 +311,20 @@ def interval_best_overlap(spark, sf_dir):
     return matching.best_overlap(left, right, left_id="lid", right_id="rid", lo="lo", hi="hi", width=86400)
 
 
+@query(
+    f"""WITH l AS (SELECT user_id AS lid, min({_SECONDS}) AS lo, max({_SECONDS}) + 1 AS hi FROM events GROUP BY 1),
+r AS (SELECT event_id AS rid, {_SECONDS} AS lo, {_SECONDS} + 3600 * (1 + event_id % 5) AS hi FROM events WHERE event_type = 'signup'),
+p AS (SELECT lid, rid, least(l.hi, r.hi) - greatest(l.lo, r.lo) AS overlap FROM l JOIN r ON l.lo < r.hi AND r.lo < l.hi)
+SELECT lid, rid, overlap FROM (SELECT *, row_number() OVER (PARTITION BY lid ORDER BY overlap DESC, rid) AS rn FROM p) WHERE rn = 1"""
+)
+def interval_best_overlap_all(spark, sf_dir):
+    """As interval_best_overlap, with the left intervals over all events of a user."""
+    e = _events(spark, sf_dir)
+    left = e.groupBy(F.col("user_id").alias("lid")).agg(F.min("s").alias("lo"), (F.max("s") + 1).alias("hi"))
+    right = e.where("event_type = 'signup'").select(F.col("event_id").alias("rid"), F.col("s").alias("lo"), (F.col("s") + 3600 * (1 + F.col("event_id") % 5)).alias("hi"))
+    return matching.best_overlap(left, right, left_id="lid", right_id="rid", lo="lo", hi="hi", width=86400)
+
+
 @query(
     f"""WITH e AS (SELECT event_id, user_id, event_type, {_SECONDS} AS s FROM events),
 p AS (SELECT a.event_id AS purchase_id, b.event_id AS click_id, abs(a.s - b.s) AS distance FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_type = 'purchase' AND b.event_type = 'click' AND abs(a.s - b.s) <= 7200)
