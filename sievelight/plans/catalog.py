@@ -473,7 +473,7 @@ def group4(spark, sf_dir):
 
 @query()
 def word_wrap(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", strings.wrapped_lines(F.col("text"), 60).alias("n_lines"))
+    return table(spark, sf_dir, "documents").select("doc_id", strings.wrapped_lines(F.col("text"), 60).alias("n_lines"))
 
 
 @query("SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(p_name, '')) AS ch FROM part) WHERE ch <> '' GROUP BY ch")
@@ -532,7 +532,7 @@ def seqmatch_accuracy(spark, sf_dir):
 
     text = F.coalesce(F.col("text"), F.lit(""))
     damaged = F.translate(text, "ea", "?")
-    rows = table(spark, sf_dir, "benchmark").select("item_id", F.length(text).alias("n"), matched(text, damaged).alias("matched"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length(text).alias("n"), matched(text, damaged).alias("matched"))
     return rows.withColumn("accuracy", F.round(F.col("matched") / F.greatest(F.lit(1), F.col("n")), 6))
 
 

@@ -30,3 +30,31 @@ def test_best_overlap_takes_all_events(spark):
             want[u] = (-best[1], best[0])
     got = {r.lid: (r.rid, r.overlap) for r in catalog.QUERIES["interval_best_overlap_all"](spark, DIR).collect()}
     assert got == want and len(got) > 0.9 * len(left)
+
+
+def lines_of(text, budget):
+    lines, used = 0, 0
+    for w in (text or "").split():
+        if lines and used + 1 + len(w) <= budget:
+            used += 1 + len(w)
+        else:
+            lines, used = lines + 1, len(w)
+    return lines
+
+
+def test_word_wrap_takes_whole_documents(spark):
+    want = {i: lines_of(t, 60) for i, t in rows_of("documents", "doc_id, text")}
+    got = {r.doc_id: r.n_lines for r in catalog.QUERIES["word_wrap"](spark, DIR).collect()}
+    assert got == want
+
+
+def test_seqmatch_takes_whole_conversations(spark):
+    from difflib import SequenceMatcher
+
+    want = {}
+    for c, k, t in rows_of("conversations", "conv_id, turn, text"):
+        t = t or ""
+        m = SequenceMatcher(None, t, t.translate(str.maketrans("e", "?", "a")), autojunk=False)
+        want[c, k] = (len(t), sum(b.size for b in m.get_matching_blocks()))
+    got = {(r.conv_id, r.turn): (r.n, r.matched) for r in catalog.QUERIES["seqmatch_accuracy"](spark, DIR).collect()}
+    assert got == want
