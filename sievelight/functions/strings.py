@@ -1,4 +1,4 @@
-"""Text functions as column expressions."""
+"""Text functions as column expressions."""
 
 from __future__ import annotations
 

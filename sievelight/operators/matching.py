@@ -1,4 +1,4 @@
-"""Joins of the engine: run comparison, bans, member binding, overlaps, nearest and shifted matches."""
+"""Joins of the engine: run comparison, bans, member binding, overlaps, nearest and shifted matches."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Order-dependent operators: islands, sessions, rolling baselines, lags and histograms."""
+"""Order-dependent operators: islands, sessions, rolling baselines, lags and histograms."""
 
 from __future__ import annotations
 
