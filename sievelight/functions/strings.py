@@ -45,12 +45,12 @@ def wrapped_lines(x: Column, budget: int) -> Column:
 
 def five_bits(hexed: Column, n_bytes: int) -> Column:
     """array<int>: bytes (as hex text) cut into groups of five bits, the highest first, zeros behind the last."""
-    nibble = lambda k: F.conv(F.substring(hexed, k + 1, 1), 16, 10).cast("int")
-    bits = [(n, b) for n in range(n_bytes * 2) for b in (8, 4, 2, 1)]
-    groups = [bits[k : k + 5] for k in range(0, len(bits), 5)]
-    nib = F.array(*(nibble(k) for k in range(n_bytes * 2)))
-    value = lambda g, arr: sum(((F.get(arr, F.lit(n)).bitwiseAND(F.lit(b)) / b).cast("int") * (16 >> k) for k, (n, b) in enumerate(g)), F.lit(0))
-    return F.array(*(value(g, nib) for g in groups))
+    groups = -(-8 * n_bytes // 5)
+    four = lambda h, k: F.lpad(F.conv(F.substr(h, k, F.lit(1)), 16, 2), 4, "0")
+    bits = lambda h: F.rpad(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(2 * n_bytes)), lambda k: four(h, k)), ""), 5 * groups, "0")
+    cut = lambda b: F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda k: F.conv(F.substr(b, k * 5 + 1, F.lit(5)), 2, 10).cast("int"))
+    # arrays of one element, so that the digest and the bits are made once a row
+    return F.transform(F.transform(F.array(hexed), lambda h: F.when(h.isNotNull(), bits(h))), cut)[0]
 
 
 def symbols(values: Column, alphabet: str = ALPHABET) -> Column:
@@ -67,7 +67,8 @@ def from_base32(x: Column, n_bytes: int) -> Column:
     bits = F.array_join(F.transform(F.split(clean, ""), lambda c: F.when(c == "", "").otherwise(F.lpad(F.bin(place(c)), 5, "0"))), "")
     spare = F.length(bits) - 8 * n_bytes
     good = clean.rlike(f"^[{BASE32}]*$") & spare.between(0, 7) & ~F.substr(bits, F.lit(8 * n_bytes + 1)).contains("1")
-    return F.when(good, F.lower(F.concat(*(F.conv(F.substring(bits, 4 * k + 1, 4), 2, 16) for k in range(2 * n_bytes)))))
+    read = lambda b: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(2 * n_bytes - 1)), lambda k: F.conv(F.substr(b, k * 4 + 1, F.lit(4)), 2, 16)), "")
+    return F.when(good, F.lower(F.transform(F.array(bits), read)[0]))
 
 
 def polymod(values: Column) -> Column:

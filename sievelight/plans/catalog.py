@@ -498,10 +498,21 @@ def bech32_pack(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", strings.symbols(strings.five_bits(h, 5)).alias("token"))
 
 
+@query(
+    """WITH h AS (SELECT doc_id, sha256(text) AS h FROM documents),
+b AS (SELECT doc_id, h, array_to_string(list_transform(range(1, 65), lambda k: lpad(bin(('0x' || substr(h, k::INT, 1))::INT), 4, '0')), '') || '0000' AS bits FROM h)
+SELECT doc_id, array_to_string(list_transform(range(0, 52), lambda k: substr('"""
+    + _A
+    + """', (1 + list_sum(list_transform(range(0, 5), lambda j: substr(bits, (1 + 5 * k + j)::INT, 1)::INT * (16 >> j::INT))))::INT, 1)), '') AS token FROM b"""
+)
+def bech32_pack_all(spark, sf_dir):
+    """As bech32_pack, with all 32 bytes of the digest."""
+    return table(spark, sf_dir, "documents").select("doc_id", strings.symbols(strings.five_bits(F.sha2("text", 256), 32)).alias("token"))
+
+
 @query()
 def bech32_checksum(spark, sf_dir):
-    h = F.substring(F.sha2("text", 256), 1, 10)
-    return table(spark, sf_dir, "documents").select("doc_id", strings.polymod(strings.five_bits(h, 5)).alias("polymod"))
+    return table(spark, sf_dir, "documents").select("doc_id", strings.polymod(strings.five_bits(F.sha2("text", 256), 32)).alias("polymod"))
 
 
 @query("SELECT n_nationkey, list_sort(list_distinct(list_filter([5 * n_nationkey // 8, (5 * n_nationkey + 4) // 8, 5 * (n_nationkey + 3) // 8, (5 * (n_nationkey + 3) + 4) // 8], lambda b: b < 12)))::VARCHAR AS bytes FROM nation")
@@ -620,6 +631,19 @@ def base32_roundtrip(spark, sf_dir):
     return coded.withColumn("back", strings.from_base32(F.col("code"), 5))
 
 
+@query(
+    """WITH h AS (SELECT p_partkey, sha256(p_name) AS h FROM part),
+b AS (SELECT p_partkey, h, array_to_string(list_transform(range(1, 65), lambda k: lpad(bin(('0x' || substr(h, k::INT, 1))::INT), 4, '0')), '') || '0000' AS bits FROM h)
+SELECT p_partkey, h AS back, array_to_string(list_transform(range(0, 52), lambda k: substr('"""
+    + strings.BASE32
+    + """', (1 + list_sum(list_transform(range(0, 5), lambda j: substr(bits, (1 + 5 * k + j)::INT, 1)::INT * (16 >> j::INT))))::INT, 1)), '') AS code FROM b"""
+)
+def base32_roundtrip_all(spark, sf_dir):
+    """As base32_roundtrip, with all 32 bytes of the digest."""
+    coded = table(spark, sf_dir, "part").select("p_partkey", strings.symbols(strings.five_bits(F.sha2("p_name", 256), 32), strings.BASE32).alias("code"))
+    return coded.withColumn("back", strings.from_base32(F.col("code"), 32))
+
+
 # --- streams (an extension) ---------------------------------------------------------------------------------------
 
 

@@ -1,10 +1,12 @@
 """Queries over whole tables, against brute force on small ones."""
 
+import hashlib
 import os
 
 import duckdb
 import pytest
 
+from sievelight.functions import strings
 from sievelight.plans import catalog
 
 DIR = "/root/testdata/sf0.001"
@@ -58,3 +60,29 @@ def test_seqmatch_takes_whole_conversations(spark):
         want[c, k] = (len(t), sum(b.size for b in m.get_matching_blocks()))
     got = {(r.conv_id, r.turn): (r.n, r.matched) for r in catalog.QUERIES["seqmatch_accuracy"](spark, DIR).collect()}
     assert got == want
+
+
+def five_bits_of(raw):
+    bits = "".join(f"{b:08b}" for b in raw)
+    bits += "0" * (-len(bits) % 5)
+    return [int(bits[k : k + 5], 2) for k in range(0, len(bits), 5)]
+
+
+def polymod_of(values):
+    c = 1
+    for v in values:
+        top, c = c >> 25, (c & 0x1FFFFFF) << 5 ^ v
+        for k, g in enumerate(strings.GENERATOR):
+            c ^= g if top >> k & 1 else 0
+    return c
+
+
+def test_codes_take_the_whole_digest(spark):
+    docs = {i: five_bits_of(hashlib.sha256(t.encode()).digest()) for i, t in rows_of("documents", "doc_id, text") if t is not None}
+    sums = {r.doc_id: r.polymod for r in catalog.QUERIES["bech32_checksum"](spark, DIR).collect()}
+    assert {i: sums[i] for i in docs} == {i: polymod_of(v) for i, v in docs.items()}
+    packed = {r.doc_id: r.token for r in catalog.QUERIES["bech32_pack_all"](spark, DIR).collect()}
+    assert {i: packed[i] for i in docs} == {i: "".join(strings.ALPHABET[x] for x in v) for i, v in docs.items()}
+    parts = {i: hashlib.sha256(t.encode()).digest() for i, t in rows_of("part", "p_partkey, p_name")}
+    got = {r.p_partkey: (r.code, r.back) for r in catalog.QUERIES["base32_roundtrip_all"](spark, DIR).collect()}
+    assert got == {i: ("".join(strings.BASE32[x] for x in five_bits_of(d)), d.hex()) for i, d in parts.items()}
