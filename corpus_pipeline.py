@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from sievelight.llm import decontamination, language, neardup, packing, quality
 from sievelight.llm.tables import store
 
-#: Some stages can't be expressed in SQL (trained models, byte-pair ids); tests hold run() against brute force.
+#: Some stages can't be expressed in SQL (trained models, byte-pair ids); tests hold near-dedup and
+#: decontamination against brute force, and run() only against its own stages.
 ORACLE_SQL: str | None = None
 #: A text whose language is less sure than this is rejected; so is one without any letter.
 LEAST_SURE = 0.3
