@@ -207,7 +207,11 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the documents that aren't the first of their class."""
+    """docs without the documents that aren't the first of their class.
+
+    Ids should be unique: all rows with a kept id stay, and if rows with one id differ in text, all are confirmed with the
+    shingles of one of them (see full_sets), so links can be lost or made wrongly.
+    """
     found = classes(docs, id_col=id_col, text_col=text_col, k=k, percent=percent)
     drop = store(found.where("not kept").select(F.col("id").alias("_drop")), "drop")
     keyed = docs.withColumn("_drop", F.col(id_col).cast("long"))
