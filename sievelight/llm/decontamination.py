@@ -1,12 +1,13 @@
 """2. Benchmark decontamination with training suffix arrays.
 
 Each shard (a run of whole documents) gets a suffix array over its words: suffixes of a document, sorted word by word.
-Every suffix of every test item is binary-searched in every shard; the neighbours of its place give its longest
-verbatim match, and the range of suffixes that share its first `window` words gives all locations.
+Every suffix of every test item is binary-searched in every shard; the range of suffixes that share its first `window`
+words gives all locations. Those that can't be extended to the left are extended to the right as far as the words agree,
+so longest matches have no cap; a match that holds no window isn't one.
 
 Words are numbered by the test vocabulary (0: not in it). A training suffix that begins with a word no test item has
 can't match any test suffix, so it is left out of the sort; within a shard the array is otherwise complete. Word
-numbers come from 64-bit hashes; every hit is then confirmed on the words themselves.
+numbers are found by 64-bit hashes and confirmed on the bytes of each word.
 
 The test items are broadcast in blocks of at most `block_bytes` of text each; each block is one pass over the training
 documents. The driver reads one block at a time.
@@ -26,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import ALNUM, Words, blocks, raw
+from .tables import join_unique
+from .text import ALNUM, LOWER, Words, blocks, raw
 
 #: Fixed value: a word, after lower-casing A-Z.
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -42,34 +44,61 @@ def words_of(text: str | None) -> list[str]:
 
 
 class TestSet:
-    """One block of test items: vocabulary, word numbers, and all suffixes long enough to be searched."""
+    """One block of test items: vocabulary, all words of all items as numbers with 0 after each item, and its suffixes."""
 
     __test__ = False
 
     def __init__(self, items: list[tuple[str, str]], window: int):
         self.window, self.ids = window, sorted({i for i, _ in items})
         number = {i: k for k, i in enumerate(self.ids)}
-        self.words = [words_of(t) for _, t in items]
-        vocabulary = sorted({w for ws in self.words for w in ws})
+        words = [words_of(t) for _, t in items]
+        vocabulary = sorted({w for ws in words for w in ws})
         data, offsets = raw(pa.array(vocabulary, pa.string()))
         hashed = Words(data, offsets, 0, len(vocabulary), ALNUM).hashes
-        order = np.argsort(hashed)
+        order = np.argsort(hashed, kind="stable")
         self.hashes, code = hashed[order], {vocabulary[k]: n + 1 for n, k in enumerate(order)}
-        self.codes = [np.array([code[w] for w in ws], np.int32) for ws in self.words]
-        flat, item, place, need, left = [], [], [], [], []
-        for k, (codes, (name, _)) in enumerate(zip(self.codes, items, strict=True)):
-            need_k = min(window, len(codes))
-            for s in range(len(codes)):
-                flat.append(codes[s : s + window])
-                item.append(number[name])
-                place.append((k, s))
-                need.append(need_k)
-                left.append(len(codes) - s)
-        self.suffix = np.zeros((len(flat), window), np.int32)
-        for k, c in enumerate(flat):
-            self.suffix[k, : len(c)] = c
-        self.item, self.place = np.array(item, np.int64), place
-        self.need, self.left = np.array(need, np.int64), np.array(left, np.int64)
+        encoded = [vocabulary[k].encode() for k in order]
+        self.bytes = np.frombuffer(b"".join(encoded), np.uint8)
+        self.sizes = np.array([len(w) for w in encoded], np.int64)
+        self.at = np.cumsum(self.sizes) - self.sizes
+        size = np.array([len(ws) for ws in words], np.int64)
+        self.text = np.zeros(int(size.sum()) + len(words) + window, np.int32)
+        self.text[: int(size.sum()) + len(words)] = [c for ws in words for c in [*(code[w] for w in ws), 0]]
+        self.place = np.flatnonzero(self.text)  # where each suffix begins
+        item = np.repeat(np.arange(len(words)), size)
+        self.item = np.array([number[i] for i, _ in items], np.int64)[item] if len(item) else np.zeros(0, np.int64)
+        self.need = np.minimum(window, size)[item]
+        self.left = (np.cumsum(size + 1) - 1)[item] - self.place if len(item) else np.zeros(0, np.int64)
+        self.suffix = self.text[self.place[:, None] + np.arange(window)]
+        self.suffix *= np.cumprod(self.suffix != 0, 1)  # nothing of the next item
+
+    def codes(self, w: Words) -> np.ndarray:
+        """The number of each word, 0 if no item has it; words are compared byte for byte."""
+        out, last = np.zeros(len(w.hashes), np.int32), len(self.hashes) - 1
+        if last < 0:
+            return out
+        may = np.flatnonzero(_prefixes(self.hashes)[(w.hashes >> np.uint64(48)).astype(np.int64)])
+        k = np.searchsorted(self.hashes, w.hashes[may])
+        while len(may):  # vocabulary words of one hash stand next to each other
+            same = k <= last
+            same[same] = self.hashes[k[same]] == w.hashes[may[same]]
+            may, k = may[same], k[same]
+            equal = self.sizes[k] == w.sizes[may]
+            at, word, size = w.starts[may[equal]], k[equal], w.sizes[may[equal]]
+            inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            byte = LOWER[w.data[inner + np.repeat(at, size)]] == self.bytes[inner + np.repeat(self.at[word], size)]
+            if len(size):
+                equal[equal] = np.logical_and.reduceat(byte, np.cumsum(size) - size)
+            out[may[equal]] = k[equal] + 1
+            may, k = may[~equal], k[~equal] + 1
+        return out
+
+
+def _prefixes(hashes: np.ndarray) -> np.ndarray:
+    """Which first 16 bits occur."""
+    table = np.zeros(1 << 16, bool)
+    table[(hashes >> np.uint64(48)).astype(np.int64)] = True
+    return table
 
 
 def _compare(rows: np.ndarray, keys: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -125,14 +154,18 @@ class Shard:
             high[run[~right]] = mid[~right]
         return low
 
-    def common(self, at: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Length of the longest match with the suffixes at places `at` (out of range: 0)."""
-        ok = (at >= 0) & (at < len(self.order))
-        if not len(self.order):
-            return np.zeros(len(at), np.int64)
-        rows = self.row(np.clip(at, 0, len(self.order) - 1))
-        same = np.cumprod((rows == keys) & (keys != 0), 1).sum(1)
-        return np.where(ok, same, 0)
+
+def _extend(a: np.ndarray, at: np.ndarray, b: np.ndarray, to: np.ndarray, begun: np.ndarray, step: int = 32) -> np.ndarray:
+    """Lengths of the longest matches of a from `at` with b from `to`, of which `begun` words are known; 0 ends a text."""
+    size, run = begun.copy(), np.arange(len(at))
+    reach = np.arange(step)
+    while len(run):
+        x, y = (at[run] + size[run])[:, None] + reach, (to[run] + size[run])[:, None] + reach
+        x, y = a[np.minimum(x, len(a) - 1)], b[np.minimum(y, len(b) - 1)]
+        more = np.cumprod((x == y) & (x != 0), 1).sum(1)
+        size[run] += more
+        run = run[more == step]
+    return size
 
 
 def _search_shard(test: TestSet, codes: np.ndarray, doc: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -146,30 +179,46 @@ def _search_shard(test: TestSet, codes: np.ndarray, doc: np.ndarray, first: np.n
     nothing = np.zeros(0, np.int64)
     if not len(shard.order) or not len(test.suffix):
         return nothing, nothing, nothing, longest, where
-    full = np.full(len(test.suffix), test.window)
-    here = shard.search(test.suffix, full, False)
     starts = first[:-1] + np.arange(n)
-    for near in (here - 1, here):
-        best = np.minimum(shard.common(near, test.suffix), test.left)
-        some = np.flatnonzero(best > 0)
-        at = shard.order[near[some]]
+
+    def note(at: np.ndarray, size: np.ndarray) -> None:
+        """The longest match of each document; of equal ones the first."""
         d = np.searchsorted(starts, at, "right") - 1
-        order = np.argsort(best[some], kind="stable")  # the longest of a document is written last
-        better = order[best[some][order] > longest[d[order]]]
-        longest[d[better]], where[d[better]] = best[some][better], (at - starts[d])[better]
+        order = np.lexsort((at, -size, d))
+        d, at, size = d[order], at[order], size[order]
+        top = np.flatnonzero(np.append(True, d[1:] != d[:-1])) if len(d) else nothing
+        top = top[size[top] > longest[d[top]]]
+        longest[d[top]], where[d[top]] = size[top], (at - starts[d])[top]
+
     search = np.flatnonzero(test.left >= test.need)
     low = shard.search(test.suffix[search], test.need[search], False)
     high = shard.search(test.suffix[search], test.need[search], True)
     size = high - low
     hit = np.repeat(search, size)
     at = shard.order[np.repeat(low, size) + np.arange(len(hit)) - np.repeat(np.cumsum(size) - size, size)]
+    # every match at least as long as a window begins with a hit that can't be extended to the left
+    before = np.where(at > 0, shard.text[at - 1], 0)
+    own = np.where(test.place[hit] > 0, test.text[test.place[hit] - 1], 0)
+    left = np.flatnonzero((before != own) | (before == 0))
+    note(at[left], _extend(shard.text, at[left], test.text, test.place[hit[left]], test.need[hit[left]]))
     d = np.searchsorted(starts, at, "right") - 1
-    order = np.argsort(test.need[hit], kind="stable")  # a document that shares a window need not be a neighbour
-    better = order[test.need[hit][order] > longest[d[order]]]
-    longest[d[better]], where[d[better]] = test.need[hit][better], (at - starts[d])[better]
     return d, at - starts[d], hit, longest, where
 
 
+def _merged(d: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Flat pairs of the union of [a, b) by document, and offsets by document."""
+    order = np.lexsort((a, d))
+    d, a, b = d[order], a[order], b[order]
+    if not len(d):
+        return np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
+    wide = int(b.max()) + 1
+    reach = np.maximum.accumulate(b + d * wide) - d * wide  # the furthest end so far; what an earlier document gives is below 0
+    new = np.append(True, (d[1:] != d[:-1]) | (a[1:] > reach[:-1]))
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(d)) - 1
+    return np.stack([a[head], reach[tail]], 1).ravel(), 2 * np.searchsorted(d[head], np.arange(n + 1))
+
+
 def _pass(docs: DataFrame, test: TestSet, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(test)
@@ -178,50 +227,21 @@ def _pass(docs: DataFrame, test: TestSet, id_col: str, text_col: str) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = shared.value
-        window, vocabulary = test.window, test.hashes
-        table = np.zeros(1 << 16, bool)
-        table[(vocabulary >> np.uint64(48)).astype(np.int64)] = True
+        ids = pa.array(test.ids, pa.string())
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text_col))
-            data, offsets = raw(column)
-            n_words, covered, items, longest, where = [], [], [], [], []
+            data, offsets = raw(batch.column(batch.schema.get_field_index(text_col)))
+            made: list[tuple[np.ndarray, ...]] = []
             for i, j in blocks(offsets, SHARD_BYTES):
                 w = Words(data, offsets, i, j, ALNUM)
-                codes = np.zeros(len(w.hashes), np.int32)
-                may = np.flatnonzero(table[(w.hashes >> np.uint64(48)).astype(np.int64)])
-                if len(vocabulary) and len(may):
-                    k = np.searchsorted(vocabulary, w.hashes[may])
-                    k[k == len(vocabulary)] = 0
-                    codes[may] = np.where(vocabulary[k] == w.hashes[may], k + 1, 0)
-                d, at, hit, most, place = _search_shard(test, codes, w.doc_of(), w.first)
-                spans: dict[int, list[tuple[int, int]]] = {}
-                found: dict[int, set[str]] = {}
-                order = np.argsort(d, kind="stable")
-                seen, own = -1, []
-                for dd, a, h in zip(d[order].tolist(), at[order].tolist(), hit[order].tolist(), strict=True):
-                    if dd != seen:
-                        seen, own = dd, words_of(column[i + dd].as_py())
-                    k, s = test.place[h]
-                    need = min(window, len(test.words[k]))
-                    if own[a : a + need] == test.words[k][s : s + need]:
-                        spans.setdefault(dd, []).append((a, a + need))
-                        found.setdefault(dd, set()).add(test.ids[test.item[h]])
-                n_words.append(w.counts())
-                longest.append(most)
-                where.append(place)
-                for dd in range(j - i):
-                    merged: list[list[int]] = []
-                    for a, b in sorted(spans.get(dd, ())):
-                        if merged and a <= merged[-1][1]:
-                            merged[-1][1] = max(b, merged[-1][1])
-                        else:
-                            merged.append([a, b])
-                    covered.append([x for ab in merged for x in ab])
-                    items.append(sorted(found.get(dd, ())))
-            arrays = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
+                d, at, hit, longest, where = _search_shard(test, test.codes(w), w.doc_of(), w.first)
+                spans, spans_at = _merged(d, at, at + test.need[hit], j - i)
+                found = np.unique(np.stack([d, test.item[hit]], 1), axis=0)  # items are numbered in the order of their ids
+                made.append((w.counts(), longest, where, spans, np.diff(spans_at), found[:, 1], np.bincount(found[:, 0], minlength=j - i)))
+            n_words, longest, where, spans, n_spans, items, n_items = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (list(zip(*made, strict=True)) or [()] * 7))
+            cut = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+            long = lambda x: pa.array(x.astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [*arrays, cat(n_words), pa.array(covered, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), cat(longest), cat(where)],
+                [*(batch.column(batch.schema.get_field_index(c)) for c in names), long(n_words), pa.ListArray.from_arrays(cut(n_spans), long(spans)), pa.ListArray.from_arrays(cut(n_items), ids.take(long(items))), long(longest), long(where)],
                 names=[*names, "n_words", "spans", "items", "longest_match", "longest_at"],
             )
 
@@ -234,7 +254,7 @@ def _blocks_of(items: DataFrame, block_bytes: int) -> int:
 
 
 def find(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents' columns without the text, and n_words, spans (flat pairs of word positions, disjoint), n_hit, items (sorted), longest_match (words, up to the window) and longest_at."""
+    """The documents' columns without the text, and n_words, spans (flat pairs of word positions, disjoint), n_hit, items (sorted), longest_match (in words; 0 without a hit) and longest_at, where the first of the longest begins."""
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("i"), F.coalesce(item_text_col, F.lit("")).alias("t"))
     n = _blocks_of(items, block_bytes)
     if n == 1:
@@ -258,7 +278,8 @@ def find(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, id_col: str
         pairs = pairs.select("_row", F.expr(merge).alias("spans"), "items", "m.longest_match", "m.longest_at")
         words = _pass(keyed, TestSet([], window), id_col, text_col).drop("spans", "items", "longest_match", "longest_at")
         none = {"spans": F.array().cast("array<bigint>"), "items": F.array().cast("array<string>"), "longest_match": F.lit(0), "longest_at": F.lit(0)}
-        found = words.join(pairs, "_row", "left").drop("_row").withColumns({k: F.coalesce(F.col(k), v) for k, v in none.items()})
+        pairs = pairs.join(words.groupBy("_row").agg(F.count("*").alias("rows")), "_row")
+        found = join_unique(words, pairs, "_row", "rows", "left").drop("_row").withColumns({k: F.coalesce(F.col(k), v) for k, v in none.items()})
     hit = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("s")), lambda a, x: F.struct((a.n + x * a.s).alias("n"), (-a.s).alias("s")))
     return found.withColumn("n_hit", F.when(F.size("spans") > 0, hit.n).otherwise(F.lit(0)).cast("long"))
 

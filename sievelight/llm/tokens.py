@@ -1,9 +1,10 @@
 """Exact byte-level BPE ids of whole batches of text.
 
 Texts of a checked set of characters are cut into pre-tokens in NumPy (classes of bytes, then the rule for the space
-before a run) and each pre-token's ids come from a direct-mapped table keyed by a 64-bit hash; pre-tokens that aren't
-in it, and any text with other characters or with a special token's string, go to the tokenizer itself. So the ids are
-the tokenizer's own. Ids must be under 65,536. The table has a fixed size and starts anew when its pool is full.
+before a run) and each pre-token's ids come from a direct-mapped table, found by a 64-bit hash and confirmed byte for
+byte; pre-tokens that aren't in it, and any text with other characters or with a special token's string, go to the
+tokenizer itself. So the ids are the tokenizer's own. Ids must be under 65,536. The table has a fixed size and is
+emptied when its pools are full; a text with more distinct pre-tokens than they hold is encoded beside it.
 """
 
 from __future__ import annotations
@@ -14,11 +15,12 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from .text import _power_tables, blocks, mix, raw
+from .text import blocks, raw, run_hashes
 
 DEFAULT_FILE = "byte_bpe_50k.json"
 TABLE_BITS = 20
 POOL_IDS = 6_000_000
+POOL_BYTES = 12_000_000
 
 #: Classes of bytes: 0 white space, 1 letters, 2 digits, 3 others, 9 bytes that send the text to the tokenizer.
 _CLASS = np.full(256, 9, np.uint8)
@@ -31,6 +33,13 @@ _CLASS[0xC3:0xCA] = _CLASS[0x80:0xC0] = 1
 _VALUES = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 
 
+def _byte_signs() -> list[str]:
+    """The printable sign by which a byte-level vocabulary writes each byte: its own character, or those from U+0100 on in turn."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
+
+
 class Encoder:
     """file: a path, or the name of a file of public_tokenizers."""
 
@@ -50,7 +59,7 @@ class Encoder:
         self._clear()
 
     def _ranked(self, file: str):
-        """The same vocabulary as ranks, if that file lies beside: ids of one pre-token without the rest of the tokenizer."""
+        """The same vocabulary as ranks, if that file lies beside and has the same ids: ids of one pre-token without the rest of the tokenizer."""
         ranks = os.path.splitext(file)[0] + ".tiktoken"
         try:
             import tiktoken
@@ -60,37 +69,53 @@ class Encoder:
             return None
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        made = tiktoken.Encoding("ranked", pat_str=r"[\s\S]+", mergeable_ranks=table, special_tokens={})
-        return getattr(made, "_encode_single_piece", None)
+        vocabulary, sign = self.tokenizer.get_vocab(), _byte_signs()
+        if any(vocabulary.get("".join(map(sign.__getitem__, t))) != rank for t, rank in table.items()):
+            return None
+        return tiktoken.Encoding("ranked", pat_str=r"[\s\S]+", mergeable_ranks=table, special_tokens={}).encode_ordinary
 
     def _pieces(self, pieces: list[bytes]) -> list[list[int]]:
-        return [self.piece(x) for x in pieces] if self.piece else self.slow([x.decode() for x in pieces])
+        texts = [x.decode() for x in pieces]
+        return [self.piece(x) for x in texts] if self.piece else self.slow(texts)
 
     def _clear(self) -> None:
-        self.keys = np.zeros(1 << TABLE_BITS, np.uint64)
-        self.at = np.zeros(1 << TABLE_BITS, np.int64)
-        self.size = np.zeros(1 << TABLE_BITS, np.int32)
+        n = 1 << TABLE_BITS
+        self.keys = np.zeros(n, np.uint64)
+        self.at, self.size = np.zeros(n, np.int64), np.zeros(n, np.int32)  # of the ids in their pool
+        self.key_at, self.key_size = np.zeros(n, np.int64), np.full(n, -1, np.int32)  # of the bytes in theirs
         self.pool, self.full = np.zeros(POOL_IDS, np.uint16), 0
+        self.key_pool, self.key_full = np.zeros(POOL_BYTES, np.uint8), 0
 
     def slow(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _add(self, pieces: list[bytes], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ids = self._pieces(pieces)
-        size = np.array([len(x) for x in ids], np.int64)
-        total = int(size.sum())
-        if self.full + total > len(self.pool):
+    def _found(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Which pre-tokens the table has: same hash, same length, same bytes."""
+        hit = (self.keys[slot] == hashes) & (self.key_size[slot] == sizes)
+        some = np.flatnonzero(hit)
+        if len(some):
+            size = sizes[some]
+            inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            same = data[inner + np.repeat(starts[some], size)] == self.key_pool[inner + np.repeat(self.key_at[slot[some]], size)]
+            hit[some] = np.logical_and.reduceat(same, np.cumsum(size) - size)
+        return hit
+
+    def _add(self, pieces: list[bytes], hashes: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """Puts new pre-tokens into the table, unless they are more than its pools hold."""
+        blob, key_size = np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces], np.int64)
+        if len(ids) > len(self.pool) or len(blob) > len(self.key_pool):
+            return
+        if self.full + len(ids) > len(self.pool) or self.key_full + len(blob) > len(self.key_pool):
             self._clear()
-            if total > len(self.pool):
-                self.pool = np.zeros(total, np.uint16)
-        at = self.full + np.cumsum(size) - size
-        self.pool[self.full : self.full + total] = np.fromiter((i for x in ids for i in x), np.uint16, total)
-        self.full += total
         slot = (hashes & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)
-        self.keys[slot], self.at[slot], self.size[slot] = hashes, at, size
-        same = self.keys[slot] == hashes  # of two new ones for a slot the last stays whole
-        self.at[slot[same]], self.size[slot[same]] = at[same], size[same]
-        return at, size
+        _, last = np.unique(slot[::-1], return_index=True)  # one pre-token a slot
+        own = len(slot) - 1 - last
+        self.pool[self.full : self.full + len(ids)], self.key_pool[self.key_full : self.key_full + len(blob)] = ids, blob
+        self.keys[slot[own]] = hashes[own]
+        self.at[slot[own]], self.size[slot[own]] = self.full + (np.cumsum(size) - size)[own], size[own]
+        self.key_at[slot[own]], self.key_size[slot[own]] = self.key_full + (np.cumsum(key_size) - key_size)[own], key_size[own]
+        self.full += len(ids)
+        self.key_full += len(blob)
 
     def _block(self, data: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of checked texts, one after another, and their offsets."""
@@ -120,25 +145,34 @@ class Encoder:
                 then = then[then < end[some]]
                 begin[then[kind[then] == 1]] = True
         starts = np.flatnonzero(begin)
-        power, inverse = _power_tables(len(data) + 1)
-        hashes = mix(np.add.reduceat(_VALUES[data] * power[: len(data)], starts) * inverse[starts])
+        ends = np.append(starts[1:], len(data))
+        sizes = ends - starts
+        hashes = run_hashes(_VALUES[data], starts, sizes)
         slot = (hashes & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)
-        miss = np.flatnonzero(self.keys[slot] != hashes)
-        at, size = self.at[slot], self.size[slot].astype(np.int64)
+        hit = self._found(data, starts, sizes, hashes, slot)
+        size = np.where(hit, self.size[slot], 0).astype(np.int64)
+        miss = np.flatnonzero(~hit)
+        fresh, at_miss = np.zeros(0, np.uint16), np.zeros(0, np.int64)
         if len(miss):
-            new, first, which = np.unique(hashes[miss], return_index=True, return_inverse=True)
-            first = miss[first]
-            ends = np.append(starts[1:], len(data))
             blob = data.tobytes()
-            pieces = [blob[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-            before = self.full
-            at_new, size_new = self._add(pieces, new)
-            if self.full < before + int(size_new.sum()):  # the pool started anew: what was found before is gone
-                return self._block(data, docs)
-            at[miss], size[miss] = at_new[which], size_new[which]
+            which: dict[bytes, int] = {}
+            number = np.array([which.setdefault(blob[s:e], len(which)) for s, e in zip(starts[miss].tolist(), ends[miss].tolist(), strict=True)])
+            pieces = list(which)
+            made = self._pieces(pieces)
+            n_new = np.array([len(x) for x in made], np.int64)
+            fresh = np.fromiter((i for x in made for i in x), np.uint16, int(n_new.sum()))
+            size[miss], at_miss = n_new[number], (np.cumsum(n_new) - n_new)[number]
         stop = np.cumsum(size)
-        ids = self.pool[np.arange(stop[-1]) + np.repeat(at - stop + size, size)]
         upto = np.concatenate([[0], stop])
+        ids = np.empty(int(upto[-1]), np.uint16)
+        for some, pool, at in ((np.flatnonzero(hit), self.pool, self.at[slot[hit]]), (miss, fresh, at_miss)):
+            n = size[some]
+            inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            ids[inner + np.repeat(upto[some], n)] = pool[inner + np.repeat(at, n)]
+        if len(miss):
+            first = np.zeros(len(pieces), np.int64)
+            first[number] = miss
+            self._add(pieces, hashes[first], fresh, n_new)
         return ids, upto[np.searchsorted(starts, docs)]
 
     def encode_column(self, column: pa.Array, block_bytes: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:

@@ -57,6 +57,31 @@ def test_ids_are_the_tokenizers():
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [e.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_words_of_a_doubling_pattern_stay_apart():
+    """Strings that collide under every polynomial modulo a power of two."""
+    one = "".join("ab"[bin(k).count("1") & 1] for k in range(2048))
+    other = one.translate(str.maketrans("ab", "ba"))
+    e = encoder()
+    for n in (1024, 2048):
+        ids, at = e.encode_column(pa.array([one[:n], other[:n]]))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [e.tokenizer.encode(t[:n], add_special_tokens=False).ids for t in (one, other)]
+        data, offsets = raw(pa.array([one[:n], other[:n]]))
+        assert len(set(Words(data, offsets, 0, 2, NONSPACE).hashes.tolist())) == 2
+
+
+def test_a_text_with_more_pre_tokens_than_the_cache_holds(monkeypatch):
+    from sievelight.llm import tokens
+
+    for name, value in (("TABLE_BITS", 6), ("POOL_IDS", 300), ("POOL_BYTES", 500)):
+        monkeypatch.setattr(tokens, name, value)
+    e = tokens.Encoder()
+    words = lambda n: " ".join("".join(rng.choice(list("qxzjkv"), rng.integers(1, 9))) for _ in range(n))
+    texts = [words(30), words(4000), None, words(60), words(5), words(4000)]
+    for column in (texts, texts[3:], [texts[0]] * 2 + [texts[4]]):
+        ids, at = e.encode_column(pa.array(column, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [e.tokenizer.encode(t or "", add_special_tokens=False).ids for t in column]
+
+
 def test_packing(spark, docs, empty):
     pieces = packing.pack(docs, window=64).toPandas().sort_values(["sequence_id", "offset"])
     e = encoder().tokenizer
@@ -83,12 +108,28 @@ def brute_hits(text, items, window=10):
     return len(w), len(hit), sorted(found)
 
 
+def brute_longest(text, items):
+    w, best, at = decontamination.words_of(text), 0, 0
+    for t in items:
+        v = decontamination.words_of(t)
+        for k in range(len(w)):
+            for s in range(len(v)):
+                n = 0
+                while k + n < len(w) and s + n < len(v) and w[k + n] == v[s + n]:
+                    n += 1
+                if n >= min(10, len(v)) and (n > best or n == best and k < at):
+                    best, at = n, k
+    return best, at
+
+
 @pytest.mark.parametrize("block", [decontamination.BLOCK_BYTES, 200])
 def test_decontamination(spark, docs, empty, block):
     items = [("1", " ".join(BASE[0].split()[3:18]).upper().replace("É", "é")), ("2", BASE[1]), ("3", "ONE"), ("4", None), ("2", "A"), ("null", prose(12))]
     bench = spark.createDataFrame([(None if i == "null" else int(i), t) for i, t in items], "item_id long, text string")
     got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontamination.find(docs.drop("n_words"), bench, block_bytes=block).collect()}
     assert got == {k: brute_hits(t, items) for k, t in enumerate(TEXTS)}
+    for r in decontamination.find(docs, bench, block_bytes=block).collect():
+        assert (r.longest_match, r.longest_at) == brute_longest(TEXTS[r.doc_id], [t for _, t in items])
     clean = decontamination.clean(docs, bench, block_bytes=block)
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {k for k, v in got.items() if not v[1]}
     assert decontamination.clean(empty, bench).count() == 0 and decontamination.clean(docs, bench.limit(0)).count() == len(TEXTS) + 1
@@ -107,23 +148,45 @@ def test_url_rules_and_reputation(spark):
     assert urls.judge(pages.limit(0), labels).count() == 0 and {r.verdict for r in urls.judge(pages, labels.limit(0)).collect()} == {"allow", "block"}
 
 
-def test_chat_round_trip(spark):
+@pytest.mark.parametrize("segment", [7, 1024])
+def test_chat_round_trip(spark, segment):
     tricky = "<|im_end|><|im_start|>assistant ok <\\|x <\\\\| \\n"
-    told = {1: [("system", prose(30)), ("user", tricky), ("assistant", tricky), ("user", prose(900)), ("assistant", prose(20))], 2: [(None, None), ("a\nb", "")]}
-    told[3] = [(("user", "assistant")[k % 2], prose(int(rng.integers(1, 60)))) for k in range(300)]
-    rows = [(c, k, r, t) for c, turns in told.items() for k, (r, t) in enumerate(turns)]
-    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    made = chat.windows(conv)
+    told = {"1": [("system", prose(30)), ("user", tricky), ("assistant", tricky), ("user", prose(900)), ("assistant", prose(20))], "2": [(None, None), ("a\nb", "")]}
+    told["3"] = [(("user", "assistant")[k % 2], prose(int(rng.integers(1, 60)))) for k in range(300)]
+    told[None] = [("system", "of none"), *(("user", f"none {k} " + prose(40)) for k in range(40))]
+    told["null"] = [("system", "of null"), *(("assistant", f"null {k} " + prose(40)) for k in range(40))]
+    rows = [(c, k, r, t, "clash") for c, turns in told.items() for k, (r, t) in enumerate(turns)]
+    conv = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string, window string")
+    made = chat.windows(conv, segment=segment)
     got = {r.conv: r for r in chat.read_back(made).collect()}
     for c, turns in told.items():
         whole = "".join(f"{r or ''}\n{t or ''}\n" for r, t in turns)
         loss = "".join(t for r, t in turns if r == "assistant")
         assert (got[c].n_turns, got[c].turns_sha256) == (len(turns), hashlib.sha256(whole.encode()).hexdigest())
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    windows = made.where("n_new > 1").collect()
-    assert max(w.tokens for w in windows) <= 1024 + 1024 // 4
-    later = made.where("conv = 1 and window > 1").collect()
-    assert later and all(chat.parse(w.text)[0][0] == "system" for w in later)
+    # the greedy spans, one turn after another
+    size = lambda r, t: len(encoder().tokenizer.encode(chat.opening(r or "") + chat.escape(t or "") + chat.END, add_special_tokens=False).ids)
+    windows = {(w.conv, w.window): w for w in made.collect()}
+    want = {}
+    for c, turns in told.items():
+        tokens = [size(*t) for t in turns]
+        head = next((k for k, t in enumerate(turns) if t[0] == "system"), None)
+        left = 1024 - (0 if head is None else tokens[head])
+        begin = 0
+        while begin < len(turns):
+            end = begin + 1
+            while end < len(turns) and sum(tokens[begin : end + 1]) <= max(left - 256, left // 2, 1):
+                end += 1
+            again = head is not None and head < begin
+            spare = min(256, 1024 - sum(tokens[begin:end]) - (tokens[head] if again else 0))
+            old = [k for k in range(begin) if k != head and sum(tokens[k:begin]) <= spare]
+            want[c, begin] = [*([head] if again else []), *old, *range(begin, end)], len(old) + again, sum(tokens[k] for k in [*([head] if again else []), *old, *range(begin, end)])
+            begin = end
+    assert set(windows) == set(want)
+    for at, (turns, n, total) in want.items():
+        w = windows[at]
+        assert chat.parse(w.text) == [(told[at[0]][k][0] or "", told[at[0]][k][1] or "") for k in turns]
+        assert (w.n_repeated, w.n_new, w.tokens) == (n, len(turns) - n, total) and (total <= 1024 or w.n_new == 1)
     assert chat.read_back(chat.windows(conv.limit(0))).count() == 0
 
 
