@@ -30,9 +30,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .urls import judge
+    from .urls import judge, labelled_pages
 
-    return judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")).select("page_id", "host", "path", "rule", "verdict")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge(pages, labelled_pages(pages, table(spark, sf_dir, "labels"))).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,17 +135,79 @@ def test_decontamination(spark, docs, empty, block):
     assert decontamination.clean(empty, bench).count() == 0 and decontamination.clean(docs, bench.limit(0)).count() == len(TEXTS) + 1
 
 
+def brute_host_path(url):
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    host = re.split("[/?#]", rest)[0]
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), re.split("[?#]", rest[len(host) :])[0]
+
+
+def brute_rule(host, path):
+    best = (None, None)
+    for verdict, rule in urls.RULES:
+        own, rest = rule.split("/", 1)
+        if (host == own or host.endswith("." + own)) and path.startswith("/" + rest) and len(rule) > len(best[0] or ""):
+            best = (rule, verdict)
+    return best
+
+
+def brute_bounds(pages, level=0.05, weakest=2.0, strongest=1000.0):
+    """pages: (host, domain, suffix, good or None). Per host: mean and the quantile by a fine sum over the density of the log odds."""
+
+    def counts(of):
+        out = {}
+        for p in pages:
+            n, s = out.get(of(p), (0, 0))
+            out[of(p)] = (n + (p[3] is not None), s + (p[3] or 0))
+        return out
+
+    def strength(c):
+        c = [x for x in c.values() if x[0]]
+        if not c:
+            return strongest
+        total, m = sum(n for n, _ in c), sum(s for _, s in c) / sum(n for n, _ in c)
+        free = total - sum(n * n for n, _ in c) / total
+        between = (sum(n * (s / n - m) ** 2 for n, s in c) - (len(c) - 1) * m * (1 - m)) / free if free > 0 else 0
+        return max(weakest, min(strongest, m * (1 - m) / between - 1)) if between > 0 else strongest
+
+    hosts, domains, suffixes = counts(lambda p: p[:3]), counts(lambda p: p[1:3]), counts(lambda p: p[2])
+    n, s = sum(x[0] for x in suffixes.values()), sum(x[1] for x in suffixes.values())
+    mean_s = {k: (b + strength(suffixes) * (s + 1) / (n + 2)) / (a + strength(suffixes)) for k, (a, b) in suffixes.items()}
+    mean_d = {k: (b + strength(domains) * mean_s[k[1]]) / (a + strength(domains)) for k, (a, b) in domains.items()}
+    k, x, out = strength(hosts), np.linspace(-400, 400, 1_600_001), {}  # x: log odds
+    for (h, d, u), (a, b) in hosts.items():
+        log = -(b + k * mean_d[d, u]) * np.logaddexp(0, -x) - (a - b + k * (1 - mean_d[d, u])) * np.logaddexp(0, x)
+        weight = np.cumsum(np.exp(log - log.max()))
+        out[h] = 1 / (1 + np.exp(-x[np.searchsorted(weight, level * weight[-1])]))
+    return out
+
+
 def test_url_rules_and_reputation(spark):
-    given = [(1, "http://A.example.net/en/x?q"), (2, "https://x.net/"), (3, "http://a.org/fr/1#t"), (4, "http://example.com/de/"), (5, None), (6, "nothing"), (7, "http://bad.info/1"), (8, "http://x.net")]
-    given += [(k, "http://bad.info/2") for k in range(100, 160)] + [(k, f"http://h{k % 5}.good.com/") for k in range(200, 300)]
-    pages = spark.createDataFrame(given, "page_id long, url string").withColumn("host", F.lit("clash"))
-    labels = spark.createDataFrame([(k, 0) for k in range(100, 160)] + [(k, 1) for k in range(200, 300)] + [(1, None)], "doc_id long, quality int")
-    got = {r.page_id: r for r in urls.judge(pages, labels).collect()}
+    given = ["http://A.example.net/en/x?q", "https://x.net/", "http://a.org/fr/1#t", "http://example.com/de/", None, "nothing", "http://bad.info/1", "http://x.net", "http://h.co.uk:8080/a"]
+    given += ["ftp://u@H1.good.com/7", "http://10.0.0.1/x", "://", "http://?q", "http://org/fr/", "http://myorg/fr/", "http://example.net/en", "http://É.example.net/EN/"]
+    given += ["http://bad.info/2"] * 60 + [f"http://h{k % 5}.good.com/" for k in range(100)] + [f"http://www{k % 9}.mixed.co.uk/{k}" for k in range(90)] + ["http://other.co.uk/"] * 3
+    pages = spark.createDataFrame(list(enumerate(given)), "page_id long, url string").withColumn("host", F.lit("clash"))
+    good = {k: int("good" in u or k % 3 > 0 and "mixed" in u) for k, u in enumerate(given) if u and ("good" in u or "bad" in u or "mixed" in u)} | {0: None, 1: 5}
+    got = {r.page_id: r for r in urls.judge(pages, spark.createDataFrame(list(good.items()), "page_id long, good int")).collect()}
     assert len(got) == len(given)
-    assert [(got[k].rule, got[k].verdict) for k in (1, 2, 3, 4)] == [("example.net/en/", "allow"), ("net/", "block"), ("org/fr/", "allow"), ("example.com/de/", "block")]
-    assert (got[1].host, got[1].path) == ("a.example.net", "/en/x") and (got[5].host, got[6].path) == ("", "") and got[8].rule is None
-    assert got[7].verdict == "block" and got[200].verdict == "allow"
-    assert urls.judge(pages.limit(0), labels).count() == 0 and {r.verdict for r in urls.judge(pages, labels.limit(0)).collect()} == {"allow", "block"}
+    parts = {k: brute_host_path(u) for k, u in enumerate(given)}
+    level = {"bad.info": ("bad.info", "info"), "h.co.uk:8080": ("h.co.uk", "co.uk"), "other.co.uk": ("other.co.uk", "co.uk"), "10.0.0.1": ("10.0.0.1",) * 2, "u@h1.good.com": ("good.com", "com")}
+    level |= {h: (".".join(h.split(".")[-3:]), "co.uk") for h, _ in parts.values() if "mixed" in h}
+    level = {h: level.get(h, (".".join(h.split(".")[-2:]), h.split(".")[-1])) for h, _ in parts.values()}
+    bound = brute_bounds([(parts[k][0], *level[parts[k][0]], good.get(k) if good.get(k) in (0, 1) else None) for k in parts])
+    for k, (host, path) in parts.items():
+        rule, verdict = brute_rule(host, path)
+        assert (got[k].host, got[k].path, got[k].rule) == (host, path, rule)
+        assert got[k].bound == pytest.approx(bound[host], abs=2e-4)
+        assert got[k].verdict == (verdict or ("allow" if bound[host] >= 0.5 else "block"))
+    assert got[6].verdict == "block" and got[len(given) - 100].verdict == "allow"
+    none = spark.createDataFrame([], "page_id long, good int")
+    assert urls.judge(pages.limit(0), none).count() == 0 and {r.verdict for r in urls.judge(pages, none).collect()} == {"allow", "block"}
+
+
+def test_pages_of_labelled_documents(spark):
+    pages = spark.createDataFrame([(1, "http://a.b/en/17?x=3"), (2, "http://a.b/en/18.html#t"), (3, "http://a.b/17/x"), (4, None), (5, "http://a.b/19/"), (6, "http://17"), (7, "http://a.b/en/17")], "page_id long, url string")
+    labels = spark.createDataFrame([(17, 1), (18, 0), (19, None), (3, 1)], "doc_id long, quality int")
+    assert {(r.page_id, r.good) for r in urls.labelled_pages(pages, labels).collect()} == {(1, 1), (2, 0), (5, None), (7, 1)}
 
 
 @pytest.mark.parametrize("segment", [7, 1024])
@@ -214,15 +276,56 @@ def test_language_gradients_and_accuracy(spark, empty):
     assert language.identify(df, None).where("lang_pred <> 'und'").count() == 0 and language.identify(empty, None).count() == 0
 
 
+def brute_ratios(texts, target, buckets):
+    """Log ratios by counting n-grams one after another, with the operator's own hash of each."""
+    every, good = np.ones(buckets), np.ones(buckets)
+    grams = []
+    for t in texts:
+        data, offsets = raw(pa.array([t], pa.string()))
+        grams.append(quality._grams(data, offsets, 0, 1, buckets)[0].tolist())
+    for k, own in enumerate(grams):
+        for g in own:
+            every[g] += 1
+            good[g] += k in target
+    return grams, np.log(good / good.sum()) - np.log(every / every.sum())
+
+
 def test_quality(spark, docs, empty):
-    rows = [(k, prose(60)) for k in range(200)] + [(k, "buy now!! $$$ " * 30) for k in range(200, 230)] + [(230, None), (231, "")]
+    rows = [(k, prose(60)) for k in range(200)] + [(k, "buy now!! $$$ " * 30) for k in range(200, 230)] + [(230, None), (231, ""), (232, " \n ")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("log_weight", F.lit("clash"))
-    labels = spark.createDataFrame([(k, int(k < 200)) for k in range(0, 230, 2)], "doc_id long, quality int")
+    labels = spark.createDataFrame([(k, int(k < 200)) for k in range(0, 230, 2)] + [(1, None), (3, 7), (None, 1)], "doc_id long, quality int")
     kept = quality.filter_documents(df, labels)
-    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} >= {*range(200), 230, 231} and kept.where("doc_id between 200 and 229").count() == 0
-    half = quality.resample(df.drop("log_weight"), labels, keep=0.5)
-    assert half.where("kept").count() == 116
-    assert quality.filter_documents(empty, labels).count() == 0 and quality.filter_documents(docs, labels.limit(0)).count() == docs.count()
+    ids = {r.doc_id for r in kept.collect()}
+    assert kept.columns == df.columns and len(ids & set(range(200))) >= 190 and not ids & set(range(200, 233))
+    # weights, keys and k against a plain computation
+    sample = quality.labelled(labels).collect()
+    assert {r._id for r in sample} == set(range(0, 230, 2)) and all(r._good == (r._id < 200) for r in sample)
+    grams, ratios = brute_ratios([t for _, t in rows], {r._id for r in sample if r._fit}, quality.BUCKETS)
+    half = quality.resample(df.drop("log_weight"), labels, keep=0.5).collect()
+    noise = {r.doc_id: r.g for r in df.select("doc_id", quality.gumbel(F.col("doc_id").cast("string"), 11).alias("g")).collect()}
+    keys = {}
+    for r in half:
+        own = grams[r.doc_id]
+        assert r.n_grams == len(own) and (r.log_weight is None) == (not own)
+        if own:
+            weight = sum(ratios[g] for g in own) / (len(own) + quality.PRIOR)
+            assert r.log_weight == pytest.approx(weight, abs=2e-6)
+            keys[r.doc_id] = r.sample_key
+            assert r.sample_key == pytest.approx(weight / quality.TEMPERATURE + noise[r.doc_id], abs=1e-4)
+    assert {r.doc_id for r in half if r.kept} == set(sorted(keys, key=keys.get)[-115:])
+    assert quality.filter_documents(empty, labels).count() == 0 and quality.filter_documents(docs, labels.limit(0)).count() == docs.where("length(trim(text)) > 0").count()
+
+
+def test_quality_sample_has_the_chances_of_its_weights(spark):
+    df = spark.createDataFrame([(k, f"{'good' if k % 2 else 'other'} word") for k in range(20)], "doc_id long, text string")
+    weight = {0: -0.035, 1: 0.0}
+    scored = df.select("doc_id", F.when(F.col("doc_id") % 2 == 1, weight[1]).otherwise(weight[0]).alias("log_weight"))
+    first = {0: 0, 1: 0}
+    for seed in range(60):
+        keyed = quality._keyed(scored, "doc_id", 0.05, seed)
+        first[keyed.orderBy(F.desc("sample_key")).first().doc_id % 2] += 1
+    # the first of a sample is drawn in proportion to exp(weight / temperature): 2 to 1
+    assert 28 <= first[1] <= 52
 
 
 def test_toxicity(spark, empty):
