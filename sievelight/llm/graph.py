@@ -58,8 +58,9 @@ class Bloom:
 def matching(wide: DataFrame, keys: DataFrame, key: str, *, invert: bool = False) -> DataFrame:
     """Rows of wide whose key is in keys (invert: those whose key isn't; null keys too): only rows that pass a Bloom filter are shuffled."""
     shared = wide.sparkSession.sparkContext.broadcast(Bloom(keys, key))
-    marked = wide.withColumn("_place", F.coalesce(Bloom.place(key), F.lit(0)))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wide.schema)
+    own = {c: f"_m{k}" for k, c in enumerate(wide.columns)}
+    marked = wide.select(*(F.col(c).alias(own[c]) for c in wide.columns), F.coalesce(Bloom.place(key), F.lit(0)).alias("_place"))
+    fields = ", ".join(f"`{own[f.name]}` {f.dataType.simpleString()}" for f in wide.schema)
 
     def run(want: bool):
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,5 +71,7 @@ def matching(wide: DataFrame, keys: DataFrame, key: str, *, invert: bool = False
         return rows
 
     some = marked.mapInArrow(run(True), fields)
-    exact = some.join(keys.select(key).distinct(), key, "left_anti" if invert else "left_semi").select(*wide.columns)
-    return marked.mapInArrow(run(False), fields).unionByName(exact) if invert else exact
+    theirs = keys.select(F.col(key).alias(own[key])).distinct()
+    exact = some.join(theirs, own[key], "left_anti" if invert else "left_semi").select(*own.values())
+    out = marked.mapInArrow(run(False), fields).unionByName(exact) if invert else exact
+    return out.select(*(F.col(n).alias(c) for c, n in own.items()))

@@ -18,7 +18,7 @@ At similarity 0.8 a pair shares no bucket with probability (1 - 0.8**5)**40, 1.3
 
 Defined cases: a null or empty text, or one without words, has the empty set and is linked with nothing; with fewer than k
 words the whole sequence is one shingle; equal rows, and rows of one id, belong together; empty tables give empty results;
-other columns are ignored, or kept by `deduplicate`.
+other columns are ignored, or kept by `deduplicate`, whatever their names. Ids are numbers; a null id is linked with nothing.
 """
 
 from __future__ import annotations
@@ -31,11 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components, matching
-from .tables import store
+from .tables import join_unique, store
 from .text import NONSPACE, Words, blocks, distinct, mix, raw
 
 BANDS, ROWS = 40, 5
 SKETCH_BITS = 512
+#: Members of a bucket on one side of a comparison.
+SLICE = 1024
 MOST_BITS = 112
 _R = np.random.default_rng(1109)
 _MULT = _R.integers(1, 2**32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -190,20 +192,27 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     # what is left between components within a bucket
     placed = buckets.select("key", "rep").join(joined.select(F.col("v").alias("rep"), "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
     sizes = placed.groupBy("key", "c").agg(F.count("*").alias("size"))
-    mixed = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("size", "c")).alias("m")).where("parts > 1").select("key", F.col("m.c").alias("main"))
+    mixed = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum("size").alias("all"), F.max(F.struct("size", "c")).alias("m")).where("parts > 1")
+    mixed = mixed.select("key", F.col("m.c").alias("main"), F.ceil(F.sqrt(F.col("all") / SLICE)).cast("int").alias("slices"))
     open_ = placed.join(mixed, "key").join(sets.select("rep", "n", *_ALL), "rep")
     open_ = store(open_, "open")
-    side = lambda x: open_.select("key", "main", *(F.col(c).alias(f"{x}{c}") for c in ("rep", "c", "n", *_ALL)))
-    minor, other = side("a").where("ac <> main"), side("b").drop("main")
-    across = minor.join(other, (minor["key"] == other["key"]) & (F.col("ac") != F.col("bc")) & ((F.col("bc") == F.col("main")) | (F.col("arep") < F.col("brep"))) & similar)
+    # a large bucket is dealt over slices of either side, so that no task compares more than about SLICE * SLICE pairs of a key
+    own, every = F.expr("int(pmod(xxhash64(rep), slices))"), F.explode(F.expr("sequence(0, slices - 1)"))
+    side = lambda x, mine, theirs: open_.withColumn(mine, own).withColumn(theirs, every).select("key", "i", "j", "main", *(F.col(c).alias(f"{x}{c}") for c in ("rep", "c", "n", *_ALL)))
+    minor, other = side("a", "i", "j").where("ac <> main"), side("b", "j", "i").drop("main")
+    across = minor.join(other, (minor["key"] == other["key"]) & (minor["i"] == other["i"]) & (minor["j"] == other["j"]) & (F.col("ac") != F.col("bc")) & ((F.col("bc") == F.col("main")) | (F.col("arep") < F.col("brep"))) & similar)
     across = across.select(F.least("arep", "brep").alias("a"), F.greatest("arep", "brep").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     more = store(_confirm(across, whole, percent), "more_links")
     if more.limit(1).count():
         joined = components(links.unionByName(more), "components2")
 
     of_set = sets.select("n", "f0", "f1", "rep").join(joined.select(F.col("v").alias("rep"), "c"), "rep", "left").select("n", "f0", "f1", F.coalesce("c", "rep").alias("c"))
-    heavy = rows.select("id", "n", "f0", "f1").join(of_set, ["n", "f0", "f1"], "left")
-    return heavy.select(F.col("id"), F.col("n").alias("n_shingles"), F.coalesce("c", "id").alias("component_id"), (F.col("id") == F.coalesce("c", "id")).alias("kept"))
+    print_ = F.concat_ws(":", "n", "f0", "f1")
+    copies = full.groupBy(print_.alias("set")).agg(F.count("*").alias("rows"))
+    of_set = of_set.select(print_.alias("set"), "c").join(copies, "set")
+    found = join_unique(full.select("id", "n", print_.alias("set")), of_set, "set", "rows", "left").select("id", "n", "c")
+    found = found.unionByName(rows.where("n = 0").select("id", "n", F.lit(None).cast("long").alias("c")))  # empty sets stay out of the join
+    return found.select(F.col("id"), F.col("n").alias("n_shingles"), F.coalesce("c", "id").alias("component_id"), (F.col("id") == F.coalesce("c", "id")).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -214,5 +223,6 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     found = classes(docs, id_col=id_col, text_col=text_col, k=k, percent=percent)
     drop = store(found.where("not kept").select(F.col("id").alias("_drop")), "drop")
-    keyed = docs.withColumn("_drop", F.col(id_col).cast("long"))
-    return matching(keyed, drop, "_drop", invert=True).drop("_drop")
+    own = {c: f"_c{k}" for k, c in enumerate(docs.columns)}
+    keyed = docs.select(*(F.col(c).alias(own[c]) for c in docs.columns), F.col(id_col).cast("long").alias("_drop"))
+    return matching(keyed, drop, "_drop", invert=True).select(*(F.col(own[c]).alias(c) for c in docs.columns))

@@ -364,8 +364,10 @@ def test_neardup(spark, docs, empty, k):
     assert len(got) == len(TEXTS) + 1
     assert {r.id: (r.n_shingles, r.component_id, r.kept) for r in got} == {i: (len(s), c, i == c) for i, (s, c) in enumerate(zip(sets, label, strict=True))}
     assert neardup.classes(empty).count() == 0
-    kept = neardup.deduplicate(docs, k=k)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, c in enumerate(label) if i == c}
+    named = docs.withColumns({"_drop": F.lit(1), "_place": F.lit("a"), "id": F.lit(0), "n": F.lit(None).cast("int")})
+    kept = neardup.deduplicate(named, k=k)
+    assert kept.columns == named.columns and {r.doc_id for r in kept.collect()} == {i for i, c in enumerate(label) if i == c}
+    assert {(r._drop, r._place, r.id, r.n) for r in kept.collect()} == {(1, "a", 0, None)}
 
 
 def test_a_group_of_near_copies_is_one_class(spark):
@@ -381,6 +383,21 @@ def test_a_group_of_near_copies_is_one_class(spark):
     assert {r.id: r.component_id for r in got} == dict(enumerate(label))
 
 
+def test_a_bucket_of_many_components_is_dealt_over_slices(spark, monkeypatch):
+    """Pages of one template, too far from one another to link, but for some pairs."""
+    monkeypatch.setattr(neardup, "SLICE", 4)
+    base, texts = prose(140).split(), []
+    for k in range(60):
+        own = list(base)
+        for at in range(0, 140, 7):
+            own[at] = f"x{k}y{at}" if k % 5 else f"x{k // 10}y{at}"
+        texts.append(" ".join(own))
+    _, label = brute_classes(texts, 2)
+    assert len(set(label)) == 50
+    got = neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.id: r.component_id for r in got} == dict(enumerate(label))
+
+
 def test_components_of_a_chain(spark):
     links = spark.range(0, 60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).unionByName(spark.sql("select 100L a, 99L b"))
     assert {r.v: r.c for r in graph.components(links).collect()} == {**dict.fromkeys(range(61), 0), 99: 99, 100: 99}
@@ -424,7 +441,22 @@ def test_minimax_is_least(spark):
     assert max(np.diff([0, *cuts])) <= cap and set(cuts) <= set(ends.tolist())
 
 
-@pytest.mark.parametrize("block", [16, 2048])
+def test_the_grid_skips_blocks_and_loses_nothing():
+    """Clusters in a space of few dimensions: most pairs of vectors aren't compared, all links are found."""
+    centres = rng.normal(size=(40, 24)) * np.array([3.0] * 4 + [0.2] * 20)
+    x = np.concatenate([c + rng.normal(scale=0.02, size=(50, 24)) for c in centres]).astype(np.float32)
+    axes = np.eye(24)[:, : embeddings.BOX_DIMS]
+    order = np.lexsort(np.floor(embeddings._place(x.astype(float), axes)[1][:, :6].T[::-1] / np.sqrt(0.2)))
+    x = x[order]
+    rows = pa.array([{"rank": k, "rep": k, "m": 1, "x": v.tobytes()} for k, v in enumerate(x)], pa.struct([("rank", pa.int64()), ("rep", pa.int64()), ("m", pa.int64()), ("x", pa.binary())]))
+    a = embeddings._Side(rows, 24, axes, "<f4")
+    _, compared = embeddings._join(a, a, True, 0.9, leaf=32)
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    assert a.count.tolist() == ((y @ y.T >= 0.9).sum(1) - 1).tolist()
+    assert compared < 0.3 * len(x) ** 2 / 2
+
+
+@pytest.mark.parametrize("block", [16, None])
 def test_embeddings(spark, block):
     x = rng.normal(size=(120, 16))
     x[40:60] = x[:20] + rng.normal(scale=0.1, size=(20, 16))
@@ -445,6 +477,8 @@ def test_embeddings(spark, block):
     got = embeddings.classes(df, block=block).collect()
     assert {r.id: (r.n_links, r.component_id) for r in got} == want and all(r.kept == (r.id == r.component_id) for r in got)
     assert embeddings.classes(df.limit(0)).count() == 0
+    wide = df.select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("embedding"), F.lit(1).alias("key"), F.lit(2).alias("id"))
+    assert {r.id: (r.n_links, r.component_id) for r in embeddings.classes(wide, block=block).collect()} == want
 
 
 def test_pipeline_stages_keep_the_columns(spark, docs, tmp_path):
