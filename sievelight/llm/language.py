@@ -4,8 +4,9 @@ Each direction has one gate: f = sigmoid(A[b] + hU), c = tanh(B[b] + (f*h)V), h
 byte give a distribution over the languages, so every position of the whole text is labelled; a document's
 probabilities are the mean over its positions. Texts are read in chunks of `chunk` bytes, many at a time.
 
-It is trained on the driver by backpropagation through time (Adam) on at most `per_language` documents a language,
-chosen by a hash, of which pieces at hashed places are taken; at most `most_languages` languages, the most frequent ones.
+It is trained on the driver by backpropagation through time (Adam) on a bounded sample: about `per_language` documents of
+each language, chosen by a hash of id and text (twice that in all at most), and of each `pieces` pieces of `piece_chars`
+characters at hashed places. All languages are learned; their number sets the size of the sample. Within a chunk the states start anew.
 
 Defined cases: a null or empty text, or one without any letter, is `und` with score 0; so is every text if there is
 nothing to learn from; equal rows get equal answers; a null id hashes as an empty one; other columns pass through.
@@ -24,7 +25,6 @@ from .tables import bound_batches
 from .text import raw
 
 PER_LANGUAGE = 400
-MOST_LANGUAGES = 64
 PIECES, PIECE_CHARS = 3, 80
 
 
@@ -162,19 +162,17 @@ class Network:
         return out / np.maximum(size, 1)[:, None]
 
 
-def learn(docs: DataFrame, usable: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES, length: int = 48, steps: int = 150) -> Network | None:
+def learn(docs: DataFrame, usable: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, pieces: int = PIECES, piece_chars: int = PIECE_CHARS, length: int = 48, steps: int = 150) -> Network | None:
     """Learns from rows that are `usable` and have a language and a text."""
     rows = docs.where(usable & F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    counts = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(most_languages).collect()
+    counts = rows.groupBy("l").count().orderBy("l").collect()  # a row per language
     if not counts:
         return None
-    rate = F.lit(0.0)
-    for r in counts:
-        rate = F.when(F.col("l") == r.l, F.lit(per_language / r["count"])).otherwise(rate)
-    chance = lambda k: F.pmod(F.xxhash64("i", F.length("t"), F.lit(k)), F.lit(1 << 30)) / float(1 << 30)
-    at = lambda k: (F.lit(1) + F.floor(chance(k) * F.greatest(F.lit(1), F.length("t") - PIECE_CHARS + 1))).cast("int")
-    pieces = rows.where(chance(0) < rate).select("l", F.array(*(F.substring("t", at(k + 1), PIECE_CHARS) for k in range(PIECES))).alias("p"))
-    found = pieces.limit(2 * per_language * len(counts)).collect()
+    rates = F.create_map(*(F.lit(x) for r in counts for x in (r.l, per_language / r["count"])))
+    chance = lambda k: F.pmod(F.xxhash64("i", "t", F.lit(k)), F.lit(1 << 30)) / float(1 << 30)
+    at = lambda k: (F.lit(1) + F.floor(chance(k) * F.greatest(F.lit(1), F.length("t") - piece_chars + 1))).cast("int")
+    chosen = rows.where(chance(0) < F.element_at(rates, F.col("l"))).select("l", F.array(*(F.substring("t", at(k + 1), piece_chars) for k in range(pieces))).alias("p"))
+    found = chosen.dropDuplicates().limit(2 * per_language * len(counts)).collect()
     names = sorted(r.l for r in counts)
     got = sorted((r.l, p) for r in found for p in set(r.p))
     text, valid = np.full((length, len(got)), 32, np.uint8), np.zeros((length, len(got)), bool)
@@ -193,7 +191,7 @@ def identify(docs: DataFrame, net: Network | None, *, text_col: str = "text") ->
     bound_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    ready = docs.select(*names).withColumn("_letters", letters)
+    ready = docs.select(*names, letters.alias("_letters" + "".join(names)))
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

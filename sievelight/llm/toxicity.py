@@ -7,8 +7,10 @@ outside the exception phrases, which the same automaton finds. The weights of a
 and their number go through a logistic function fitted on other labelled rows.
 
 Learning uses at most `rows` labelled rows of either class, chosen by a hash (their ids are broadcast): one half of them
-gives the lexicon, the other the logistic function. Candidates are counted on executors; the driver gets at most
-`most_entries` of them.
+gives the lexicon, the other the logistic function. Candidates are all beginnings of SHORTEST to LONGEST characters and all
+shorter words as a whole. The texts that hold a candidate are counted on executors, near copies (texts with the same
+MinHash of their runs of five words) once; a candidate becomes an entry if LEAST_TEXTS toxic texts hold it, its odds are
+high and too clear to be chance (likelihood ratio of EVIDENCE). The bound on rows is the only one.
 
 Defined cases: a null or empty text scores as one without matches; without any label to learn from the score is 0; labels
 other than 0 and 1 are ignored, a row labelled both counts as toxic; equal rows get equal scores; other columns pass through.
@@ -16,7 +18,7 @@ other than 0 and 1 are ignored, a row labelled both counts as toxic; equal rows
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,10 +31,11 @@ from .tables import store
 
 THRESHOLD = 0.7
 ROWS = 10_000
-MOST_ENTRIES = 2_000
 SHORTEST, LONGEST = 4, 8
-#: A candidate must be in this share of toxic texts, and in no more than that of the others.
-TOXIC_SHARE, CLEAN_SHARE, LEAST_TEXTS = 0.01, 0.002, 3
+#: An entry must be in so many toxic texts at least, and in no more than that share of the others.
+LEAST_TEXTS, CLEAN_SHARE = 3, 0.002
+#: Least log odds of an entry, and the least statistic G of a likelihood ratio test: by chance one word in 2,000 reaches that.
+LEAST_ODDS, EVIDENCE = 2.0, 12.0
 #: Phrases in which a listed word is harmless.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "clownfish", "circus clown", "pond scum", "stupid luck")
 #: Look-alikes, by the Latin letter they are read as.
@@ -50,13 +53,12 @@ def fold(text: str) -> str:
     return text.lower().translate(_FOLD)
 
 
-def candidates(folded: str) -> set[str]:
-    """Beginnings of words."""
-    out = set()
-    for word in {w for part in folded.split() for w in ("".join(c if c.isalpha() else " " for c in part)).split()}:
-        if len(word) >= SHORTEST:
-            out.update(word[:n] for n in range(SHORTEST, min(LONGEST, len(word)) + 1))
-    return out
+def candidates(folded: str) -> tuple[set[str], int]:
+    """Beginnings of words, and short words with a space behind; and the MinHash of the text."""
+    words = "".join(c if c.isalpha() else " " for c in folded).split()
+    out = {word[:n] for word in set(words) for n in range(SHORTEST, min(LONGEST, len(word)) + 1)}
+    out.update(word + " " for word in set(words) if len(word) < SHORTEST)
+    return out, min((zlib.crc32(" ".join(words[k : k + 5]).encode()) for k in range(max(1, len(words) - 4))), default=0)
 
 
 @dataclass
@@ -70,10 +72,10 @@ class Model:
 
         a = ahocorasick.Automaton()
         for phrase in self.exceptions:
-            a.add_word(fold(phrase), (len(fold(phrase)), None))
+            a.add_word(fold(phrase), (len(fold(phrase)), None, False))
         for entry, weight in self.lexicon.items():
-            if entry not in a:
-                a.add_word(entry, (len(entry), weight))
+            if entry.strip() not in a:
+                a.add_word(entry.strip(), (len(entry.strip()), weight, entry[-1] == " "))
         a.make_automaton()
         return a if len(a) else None
 
@@ -82,15 +84,22 @@ class Model:
         if not text or automaton is None:
             return 0.0, 0
         folded = fold(text)
-        found, free = [], []
-        for end, (size, weight) in automaton.iter(folded):
+        found, reach, free = [], -1, []
+        for end, (size, weight, whole) in automaton.iter(folded):
             start = end - size + 1
             if weight is None:
                 free.append((start, end))
-            elif start == 0 or not folded[start - 1].isalnum():
+            elif (start == 0 or not folded[start - 1].isalnum()) and not (whole and folded[end + 1 : end + 2].isalnum()):
                 found.append((start, end, weight))
-        if free:
-            found = [m for m in found if not any(a <= m[0] and m[1] <= b for a, b in free)]
+        if free:  # a match lies in an exception if the furthest end of those that begin no later covers it
+            free.sort()
+            kept, k = [], 0
+            for start, end, weight in sorted(found):
+                while k < len(free) and free[k][0] <= start:
+                    reach, k = max(reach, free[k][1]), k + 1
+                if end > reach:
+                    kept.append((start, end, weight))
+            found = kept
         return sum(w for _, _, w in found) * 1000 / (len(folded) + 200), len(found)
 
     def probability(self, density: np.ndarray, matches: np.ndarray) -> np.ndarray:
@@ -114,7 +123,7 @@ def _fit(density: np.ndarray, matches: np.ndarray, label: np.ndarray, ridge: flo
     return float(w[0]), float(w[1]), float(w[2])
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = ROWS, most_entries: int = MOST_ENTRIES, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = ROWS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
     hashed = known.withColumn("_h", F.xxhash64("_id", F.lit("tox")))
     chosen = None
@@ -130,24 +139,29 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     def count(only: frozenset[str] | None, least: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: Counter = Counter()
             for batch in batches:
+                seen: set[tuple[str, int]] = set()
                 for t in batch.column(0).to_pylist():
-                    own = candidates(fold(t or ""))
-                    seen.update(own if only is None else own & only)
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["e", "n"])
+                    own, text = candidates(fold(t or ""))
+                    seen.update((e, text) for e in (own if only is None else own & only))
+                yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in seen], pa.string()), pa.array([t for _, t in seen], pa.int64())], names=["e", "t"])
 
-        rows = texts.where("_first").where(F.col("_y") == (1 if only is None else 0)).select("_t")
-        got = rows.mapInArrow(run, "e string, n long").groupBy("e").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        return {r.e: r.n for r in got.orderBy(F.desc("n"), "e").limit(20 * most_entries).collect()}
+        rows = texts.where("_first").where(F.col("_y") == (1 if only is None else 0)).select("_t").mapInArrow(run, "e string, t long")
+        got = rows.distinct().groupBy("e").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+        return {r.e: r.n for r in got.collect()}  # at most the beginnings of words in `rows` texts that are in several
 
-    toxic = count(None, max(LEAST_TEXTS, int(TOXIC_SHARE * n_toxic)))
+    toxic = count(None, LEAST_TEXTS)
     clean = count(frozenset(toxic), 1)
     odds = {e: float(np.log((n + 0.5) / (n_toxic + 1)) - np.log((clean.get(e, 0) + 0.5) / (n_clean + 1))) for e, n in toxic.items()}
-    good = {e for e in odds if clean.get(e, 0) <= CLEAN_SHARE * n_clean and odds[e] > 2}
+
+    def evidence(n: int, c: int) -> float:
+        share = n_toxic / (n_toxic + n_clean)
+        return 2 * sum(x * np.log(x / ((n + c) * p)) for x, p in ((n, share), (c, 1 - share)) if x)
+
+    good = {e for e in odds if evidence(toxic[e], clean.get(e, 0)) >= EVIDENCE and clean.get(e, 0) <= CLEAN_SHARE * n_clean and odds[e] > LEAST_ODDS}
     # of beginnings of one another the shortest that is good stays
     kept = {e: odds[e] for e in good if not any(e[:n] in good for n in range(SHORTEST, len(e)))}
-    model = Model(dict(sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:most_entries]), exceptions, None)
+    model = Model(dict(sorted(kept.items())), exceptions, None)
 
     rest = texts.where("not _first")
     if {y for first, y in sizes if not first} != {0, 1}:

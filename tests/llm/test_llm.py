@@ -311,7 +311,7 @@ def test_quality(spark, docs, empty):
             weight = sum(ratios[g] for g in own) / (len(own) + quality.PRIOR)
             assert r.log_weight == pytest.approx(weight, abs=2e-6)
             keys[r.doc_id] = r.sample_key
-            assert r.sample_key == pytest.approx(weight / quality.TEMPERATURE + noise[r.doc_id], abs=1e-4)
+            assert r.sample_key == pytest.approx(weight / quality.TEMPERATURE + noise[r.doc_id], abs=3e-4)
     assert {r.doc_id for r in half if r.kept} == set(sorted(keys, key=keys.get)[-115:])
     assert quality.filter_documents(empty, labels).count() == 0 and quality.filter_documents(docs, labels.limit(0)).count() == docs.where("length(trim(text)) > 0").count()
 
@@ -328,6 +328,16 @@ def test_quality_sample_has_the_chances_of_its_weights(spark):
     assert 28 <= first[1] <= 52
 
 
+def test_a_short_word_and_many_exceptions(spark):
+    rows = [(k, prose(20) + (" zog." if k % 4 == 0 else " zogging zo")) for k in range(400)]
+    df = spark.createDataFrame([*rows, (900, "a zog"), (901, "zogs"), (902, "trash can " * 3000 + "trash zog")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(400)], "doc_id long, toxic int")
+    model = toxicity.learn(df, labels)
+    assert "zog " in model.lexicon
+    got = {r.doc_id: r for r in toxicity.score(df, model).collect()}
+    assert got[900].n_matches == 1 and got[901].n_matches == 0 and got[902].n_matches == 1 and got[900].score >= 0.7 > got[901].score
+
+
 def test_toxicity(spark, empty):
     rows = [(k, prose(40) + (" you moron" if k % 4 == 0 else "")) for k in range(400)] + [(900, None), (901, ""), (902, prose(30) + " mоr0n"), (903, "a circus clown and a trash can")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash"))
@@ -336,6 +346,19 @@ def test_toxicity(spark, empty):
     got = {r.doc_id: r.score for r in toxicity.score(df, model).collect()}
     assert all((got[k] >= 0.7) == (k % 4 == 0) for k in range(300, 400)) and got[902] >= 0.7
     assert max(got[900], got[901], got[903]) < 0.5
+    # scores against a matcher that tries every entry at every place
+    for r in toxicity.score(df, model).where("doc_id % 7 = 0 or doc_id >= 900").collect():
+        folded, spans, free = toxicity.fold(r.text or ""), [], []
+        for phrase in map(toxicity.fold, model.exceptions):
+            free += [(k, k + len(phrase)) for k in range(len(folded)) if folded.startswith(phrase, k)]
+        for entry, weight in model.lexicon.items():
+            e = entry.strip()
+            for k in range(len(folded)):
+                ends = not entry.endswith(" ") or not folded[k + len(e) : k + len(e) + 1].isalnum()
+                if folded.startswith(e, k) and (k == 0 or not folded[k - 1].isalnum()) and ends and not any(a <= k and k + len(e) <= b for a, b in free):
+                    spans.append(weight)
+        density, (a, b, c) = sum(spans) * 1000 / (len(folded) + 200) if r.text else 0.0, model.weights
+        assert r.n_matches == len(spans) and r.score == pytest.approx(1 / (1 + np.exp(-(a * np.log1p(density) + b * np.log1p(len(spans)) + c))), abs=1e-9)
     none = toxicity.learn(df, labels.limit(0))
     assert {r.score for r in toxicity.score(df, none).collect()} == {0.0} and toxicity.score(empty, model).count() == 0
 
