@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -34,9 +35,9 @@ def best_overlap(left: DataFrame, right: DataFrame, *, left_id: str, right_id: s
     bins = lambda df, i, p: df.select(F.col(i).alias(f"{p}id"), F.col(lo).alias(f"{p}lo"), F.col(hi).alias(f"{p}hi"), F.explode(F.expr(f"sequence({lo} div {width}, ({hi} - 1) div {width})")).alias("bin"))
     pairs = bins(left, left_id, "l").join(bins(right, right_id, "r"), "bin").where("bin = greatest(llo, rlo) div " + str(width))
     pairs = pairs.withColumn("overlap", F.least("lhi", "rhi") - F.greatest("llo", "rlo")).where("overlap > 0")
-    tie = F.desc("rid") if last_wins else F.asc("rid")
-    w = Window.partitionBy("lid").orderBy(F.desc("overlap"), tie)
-    return pairs.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select(F.col("lid").alias(left_id), F.col("rid").alias(right_id), "overlap")
+    best = F.max(F.struct("overlap", (F.col("rid") if last_wins else -F.col("rid")).alias("r")))  # numeric ids; partial maxima leave each task
+    found = pairs.groupBy(F.col("lid").alias(left_id)).agg(best.alias("m"))
+    return found.select(left_id, F.col("m.r") * F.lit(1 if last_wins else -1), "m.overlap").toDF(left_id, right_id, "overlap")
 
 
 def nearest(left: DataFrame, right: DataFrame, *, by: list[str], left_id: str, right_id: str, at: str, tolerance: int) -> DataFrame:
@@ -52,13 +53,27 @@ def nearest_exclusive(left: DataFrame, right: DataFrame, *, by: str, left_id: st
     both = left.select(by, F.lit(0).alias("side"), F.col(left_id).alias("i"), F.col(at).alias("t")).unionByName(right.select(by, F.lit(1).alias("side"), F.col(right_id).alias("i"), F.col(at).alias("t")))
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        free = pdf[pdf.side == 1].sort_values(["t", "i"])[["t", "i"]].values.tolist()
-        out = []
-        for _, _, i, t in pdf[pdf.side == 0].sort_values(["t", "i"])[[by, "side", "i", "t"]].itertuples(index=False):
-            best = min((x for x in free if abs(x[0] - t) <= tolerance), key=lambda x: (abs(x[0] - t), x[1]), default=None)
-            if best is not None:
-                free.remove(best)
-                out.append((i, best[1], abs(best[0] - t)))
+        right = pdf[pdf.side == 1].sort_values(["t", "i"])
+        t, ids, n, out = right.t.to_numpy(), right.i.to_numpy(), len(right), []
+        later, earlier = list(range(n + 1)), list(range(n + 1))  # the next free one from k on; one more than the last free one before k
+
+        def root(line: list[int], k: int) -> int:
+            while line[k] != k:
+                line[k] = line[line[k]]
+                k = line[k]
+            return k
+
+        for at, own in pdf[pdf.side == 0].sort_values(["t", "i"])[["t", "i"]].itertuples(index=False):
+            k = int(np.searchsorted(t, at))
+            up, down = root(later, k), root(earlier, k) - 1
+            options = [(t[up] - at, ids[up], up)] if up < n else []
+            if down >= 0:  # of equal times the smallest id
+                down = root(later, int(np.searchsorted(t, t[down])))
+                options.append((at - t[down], ids[down], down))
+            best = min(options, default=None)
+            if best is not None and best[0] <= tolerance:
+                later[best[2]], earlier[best[2] + 1] = best[2] + 1, best[2]
+                out.append((own, best[1], best[0]))
         return pd.DataFrame(out, columns=[left_id, right_id, "distance"]).astype("int64")
 
     return both.groupBy(by).applyInPandas(match, f"{left_id} long, {right_id} long, distance long")

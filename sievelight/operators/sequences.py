@@ -1,4 +1,4 @@
-"""Order-dependent operators: islands, sessions, rolling baselines, lags and histograms."""
+"""Order-dependent operators: islands, sessions, rolling baselines, lags and histograms."""
 
 from __future__ import annotations
 
@@ -50,12 +50,6 @@ def local_maxima(df: DataFrame, order: str, value: str, fraction: float) -> Data
     return near.where((b > a) & (b >= c) & (b >= F.col("_top") * fraction)).select(order, value, (F.col(order) + shift).alias("refined"))
 
 
-def lower_quantile(values: Column, num: int, den: int) -> Column:
-    """Element (n - 1) * num div den of the sorted values: an order statistic, never interpolated."""
-    ordered = F.sort_array(values)
-    return F.element_at(ordered, ((F.size(ordered) - 1) * num / den).cast("int") + 1)
-
-
 def otsu(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
     """Histogram and the threshold bin of greatest between-class variance, ties to the first bin."""
     b = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((F.col(value) - low) / ((high - low) / bins)).cast("int"))).alias("bin")

@@ -5,8 +5,6 @@ Each query applies an operator to whole tables; the SQL beside it states the sam
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,32 +12,15 @@ from pyspark.sql import types as T
 
 from ..functions import reed_solomon, strings
 from ..operators import fits, folds, gates, matching, scoring, sequences
+from ..operators import series as orders
 from ..sources import documents as sources
+from .registry import ORACLE as ORACLE
+from .registry import QUERIES as QUERIES
+from .registry import query, seconds, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 FLOOR, GAP = 0.28, 0.01
 
 
-def seconds(col: str):
-    """Seconds since 1970 of a timestamp without time zone, whatever the session's zone."""
-    return F.expr(f"timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', cast({col} as timestamp_ntz))")
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # --- evaluation of labelled vectors -------------------------------------------------------------------------------
 
 _RECORDS = f"""
@@ -136,14 +117,14 @@ round(quantile_cont(l_extendedprice, 0.75), 4) AS p75, round(quantile_cont(l_ext
 round(quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25), 4) AS iqr, round(quantile_cont(l_extendedprice, 0.25) * 0.5, 4) AS floor_from_p25 FROM lineitem GROUP BY 1"""
 )
 def score_percentiles(spark, sf_dir):
-    p = lambda q: F.percentile("l_extendedprice", F.lit(q))
-    named = {f"p{int(q * 100)}": p(q) for q in (0.05, 0.25, 0.5, 0.75, 0.95)} | {"iqr": p(0.75) - p(0.25), "floor_from_p25": p(0.25) * 0.5}
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(*(F.round(v, 4).alias(k) for k, v in named.items()))
+    found = orders.quantiles(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice", {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95})
+    named = {p: F.col(p) for p in ("p5", "p25", "p50", "p75", "p95")} | {"iqr": F.col("p75") - F.col("p25"), "floor_from_p25": F.col("p25") * 0.5}
+    return found.select("l_returnflag", *(F.round(v, 4).alias(k) for k, v in named.items()))
 
 
 @query("SELECT o_orderpriority, list_sort(list(o_totalprice))[((count(*) - 1) * 3 // 4 + 1)::INT] AS q3_lower FROM orders GROUP BY 1")
 def lower_quantile(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(sequences.lower_quantile(F.collect_list("o_totalprice"), 3, 4).alias("q3_lower"))
+    return orders.lower_quantile(table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice", 3, 4).withColumnRenamed("o_totalprice", "q3_lower")
 
 
 _RULES = [gates.Rule("n_chars", ">=", 200, "TOO_SHORT"), gates.Rule("n_lines", ">=", 2, "ONE_LINE"), gates.Rule("digit_ratio", "<=", 0.02, "DIGITS"), gates.Rule("mark_ratio", "<=", 0.05, "MARKS")]
@@ -298,19 +279,6 @@ def _events(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", seconds("ts").alias("s"))
 
 
-@query(
-    f"""WITH l AS (SELECT user_id AS lid, min({_SECONDS}) AS lo, max({_SECONDS}) + 1 AS hi FROM events WHERE event_id % 10 = 0 GROUP BY 1),
-r AS (SELECT event_id AS rid, {_SECONDS} AS lo, {_SECONDS} + 3600 * (1 + event_id % 5) AS hi FROM events WHERE event_type = 'signup'),
-p AS (SELECT lid, rid, least(l.hi, r.hi) - greatest(l.lo, r.lo) AS overlap FROM l JOIN r ON l.lo < r.hi AND r.lo < l.hi)
-SELECT lid, rid, overlap FROM (SELECT *, row_number() OVER (PARTITION BY lid ORDER BY overlap DESC, rid) AS rn FROM p) WHERE rn = 1"""
-)
-def interval_best_overlap(spark, sf_dir):
-    e = _events(spark, sf_dir)
-    left = e.where("event_id % 10 = 0").groupBy(F.col("user_id").alias("lid")).agg(F.min("s").alias("lo"), (F.max("s") + 1).alias("hi"))
-    right = e.where("event_type = 'signup'").select(F.col("event_id").alias("rid"), F.col("s").alias("lo"), (F.col("s") + 3600 * (1 + F.col("event_id") % 5)).alias("hi"))
-    return matching.best_overlap(left, right, left_id="lid", right_id="rid", lo="lo", hi="hi", width=86400)
-
-
 @query(
     f"""WITH l AS (SELECT user_id AS lid, min({_SECONDS}) AS lo, max({_SECONDS}) + 1 AS hi FROM events GROUP BY 1),
 r AS (SELECT event_id AS rid, {_SECONDS} AS lo, {_SECONDS} + 3600 * (1 + event_id % 5) AS hi FROM events WHERE event_type = 'signup'),
@@ -318,7 +286,7 @@ p AS (SELECT lid, rid, least(l.hi, r.hi) - greatest(l.lo, r.lo) AS overlap FROM
 SELECT lid, rid, overlap FROM (SELECT *, row_number() OVER (PARTITION BY lid ORDER BY overlap DESC, rid) AS rn FROM p) WHERE rn = 1"""
 )
 def interval_best_overlap_all(spark, sf_dir):
-    """As interval_best_overlap, with the left intervals over all events of a user."""
+    """Each user's span over all of their events against the hours that follow signups."""
     e = _events(spark, sf_dir)
     left = e.groupBy(F.col("user_id").alias("lid")).agg(F.min("s").alias("lo"), (F.max("s") + 1).alias("hi"))
     right = e.where("event_type = 'signup'").select(F.col("event_id").alias("rid"), F.col("s").alias("lo"), (F.col("s") + 3600 * (1 + F.col("event_id") % 5)).alias("hi"))
@@ -486,18 +454,6 @@ def regex_name_parts(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.regexp_extract("c_name", r"(\d+)$", 1).alias("ordinal"), F.nullif(F.regexp_extract("c_name", r"^([A-Za-z]+)", 1), F.lit("")).alias("family"))
 
 
-@query(
-    """WITH h AS (SELECT doc_id, sha256(text)[1:10] AS h FROM documents),
-b AS (SELECT doc_id, array_to_string(list_transform(range(1, 11), lambda k: lpad(bin(('0x' || substr(h, k::INT, 1))::INT), 4, '0')), '') AS bits FROM h)
-SELECT doc_id, array_to_string(list_transform(range(0, 8), lambda k: substr('"""
-    + _A
-    + """', (1 + list_sum(list_transform(range(0, 5), lambda j: substr(bits, (1 + 5 * k + j)::INT, 1)::INT * (16 >> j::INT))))::INT, 1)), '') AS token FROM b"""
-)
-def bech32_pack(spark, sf_dir):
-    h = F.substring(F.sha2("text", 256), 1, 10)
-    return table(spark, sf_dir, "documents").select("doc_id", strings.symbols(strings.five_bits(h, 5)).alias("token"))
-
-
 @query(
     """WITH h AS (SELECT doc_id, sha256(text) AS h FROM documents),
 b AS (SELECT doc_id, h, array_to_string(list_transform(range(1, 65), lambda k: lpad(bin(('0x' || substr(h, k::INT, 1))::INT), 4, '0')), '') || '0000' AS bits FROM h)
@@ -506,7 +462,7 @@ SELECT doc_id, array_to_string(list_transform(range(0, 52), lambda k: substr('""
     + """', (1 + list_sum(list_transform(range(0, 5), lambda j: substr(bits, (1 + 5 * k + j)::INT, 1)::INT * (16 >> j::INT))))::INT, 1)), '') AS token FROM b"""
 )
 def bech32_pack_all(spark, sf_dir):
-    """As bech32_pack, with all 32 bytes of the digest."""
+    """All 32 bytes of the digest, zero bits behind the last."""
     return table(spark, sf_dir, "documents").select("doc_id", strings.symbols(strings.five_bits(F.sha2("text", 256), 32)).alias("token"))
 
 
@@ -618,19 +574,6 @@ def components_grid(spark, sf_dir):
     return held.select("c_nationkey", folds.grid_components(cells, F.lit(16)).alias("g")).select("c_nationkey", "g.*")
 
 
-@query(
-    """WITH h AS (SELECT p_partkey, sha256(p_name)[1:10] AS h FROM part),
-b AS (SELECT p_partkey, h, array_to_string(list_transform(range(1, 11), lambda k: lpad(bin(('0x' || substr(h, k::INT, 1))::INT), 4, '0')), '') AS bits FROM h)
-SELECT p_partkey, h AS back, array_to_string(list_transform(range(0, 8), lambda k: substr('"""
-    + strings.BASE32
-    + """', (1 + list_sum(list_transform(range(0, 5), lambda j: substr(bits, (1 + 5 * k + j)::INT, 1)::INT * (16 >> j::INT))))::INT, 1)), '') AS code FROM b"""
-)
-def base32_roundtrip(spark, sf_dir):
-    h = F.substring(F.sha2("p_name", 256), 1, 10)
-    coded = table(spark, sf_dir, "part").select("p_partkey", strings.symbols(strings.five_bits(h, 5), strings.BASE32).alias("code"))
-    return coded.withColumn("back", strings.from_base32(F.col("code"), 5))
-
-
 @query(
     """WITH h AS (SELECT p_partkey, sha256(p_name) AS h FROM part),
 b AS (SELECT p_partkey, h, array_to_string(list_transform(range(1, 65), lambda k: lpad(bin(('0x' || substr(h, k::INT, 1))::INT), 4, '0')), '') || '0000' AS bits FROM h)
@@ -639,7 +582,7 @@ SELECT p_partkey, h AS back, array_to_string(list_transform(range(0, 52), lambda
     + """', (1 + list_sum(list_transform(range(0, 5), lambda j: substr(bits, (1 + 5 * k + j)::INT, 1)::INT * (16 >> j::INT))))::INT, 1)), '') AS code FROM b"""
 )
 def base32_roundtrip_all(spark, sf_dir):
-    """As base32_roundtrip, with all 32 bytes of the digest."""
+    """All 32 bytes of a digest, written and read."""
     coded = table(spark, sf_dir, "part").select("p_partkey", strings.symbols(strings.five_bits(F.sha2("p_name", 256), 32), strings.BASE32).alias("code"))
     return coded.withColumn("back", strings.from_base32(F.col("code"), 32))
 
@@ -661,3 +604,7 @@ def stream_first(spark, sf_dir):
     from ..streaming import windows
 
     return windows.drained(spark, table(spark, sf_dir, "events").schema, sf_dir, "events", lambda s: s.groupBy("user_id", "event_type").agg(F.min("event_id").alias("first_id")), "complete")
+
+
+# queries of the other modules register themselves
+from . import codec, policies, signals  # noqa: E402, F401

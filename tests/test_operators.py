@@ -1,10 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sievelight.functions import reed_solomon as rs
-from sievelight.operators import gates, matching, scoring, sequences
+from sievelight.operators import gates, matching, scoring, series
 from sievelight.sources.documents import check
 
 
@@ -36,7 +37,38 @@ def test_policy_has_three_states(spark):
 
 
 def test_lower_quantile_is_an_element(spark):
-    assert spark.sql("select array(3, 1, 2) v").select(sequences.lower_quantile(F.col("v"), 3, 4)).first()[0] == 2
+    df = spark.sql("select * from values ('a', 3.0), ('a', 1.0), ('a', 2.0), ('b', null), ('c', 5.0) t(g, v)")
+    assert {(r.g, r.v) for r in series.lower_quantile(df, "g", "v", 3, 4).collect()} == {("a", 2.0), ("c", 5.0)}
+    ranks = series.ranked(spark.range(1000).selectExpr("id % 3 g", "(id * 7919) % 1000 div 3 v"), "g", "v").collect()
+    for g in range(3):
+        own = sorted((r.place, r.v, r.n) for r in ranks if r.g == g)
+        assert [p for p, *_ in own] == list(range(len(own))) and [v for _, v, _ in own] == sorted(v for _, v, _ in own) and {n for *_, n in own} == {len(own)}
+
+
+def test_smooth_solves_the_system(spark):
+    y = [3.0, 1.0, 4.0, 1.0, 5.0]
+    df = spark.createDataFrame([("a", k, v) for k, v in enumerate(y)] + [("b", 0, 2.0)], "g string, i int, v double")
+    got = {(r.g, r.i): r.smooth for r in series.smooth(df, "g", "i", "v", 2.0).collect()}
+    path = np.diag([1.0, 2, 2, 2, 1]) - np.eye(5, k=1) - np.eye(5, k=-1)
+    assert np.allclose([got["a", k] for k in range(5)], np.linalg.solve(np.eye(5) + 2 * path, y)) and got["b", 0] == pytest.approx(2.0)
+
+
+def test_rows_of_code_words_decode_as_single_ones():
+    r = np.random.default_rng(5)
+    for parity in (4, 16, 34):
+        data = r.integers(0, 256, (60, 20))
+        words = rs.encode_rows(data, parity)
+        assert all(bytes(w.tolist()) == rs.encode(bytes(d.tolist()), parity) for d, w in zip(data, words, strict=True))
+        lost, bad = np.zeros(words.shape, bool), words.copy()
+        for k in range(60):
+            e = int(r.integers(0, parity + 2))
+            lost[k, r.choice(words.shape[1], min(e, words.shape[1]), replace=False)] = True
+            for p in r.choice(words.shape[1], int(r.integers(0, max(1, parity - e) // 2 + 2)), replace=False):
+                bad[k, p] ^= int(r.integers(1, 256))
+        ok, back = rs.decode_rows(bad, lost, parity)
+        for k in range(60):
+            want = rs.decode(bytes(bad[k].tolist()), parity, tuple(np.flatnonzero(lost[k]).tolist()))
+            assert ok[k] == (want is not None) and (want is None or bytes(back[k].tolist()) == want)
 
 
 def test_overlap_counts_a_pair_once(spark):

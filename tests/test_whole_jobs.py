@@ -86,3 +86,29 @@ def test_codes_take_the_whole_digest(spark):
     parts = {i: hashlib.sha256(t.encode()).digest() for i, t in rows_of("part", "p_partkey, p_name")}
     got = {r.p_partkey: (r.code, r.back) for r in catalog.QUERIES["base32_roundtrip_all"](spark, DIR).collect()}
     assert got == {i: ("".join(strings.BASE32[x] for x in five_bits_of(d)), d.hex()) for i, d in parts.items()}
+
+
+def test_exclusive_matches_are_the_greedy_ones(spark):
+    events = rows_of("events", "event_id, user_id, event_type, epoch_us(ts) // 1000000")
+    free, want = {}, {}
+    for i, u, kind, s in events:
+        if kind == "click":
+            free.setdefault(u, []).append((s, i))
+    for s, i, u in sorted((s, i, u) for i, u, kind, s in events if kind == "purchase"):
+        near = [(abs(t - s), c, t) for t, c in free.get(u, []) if abs(t - s) <= 7200]
+        if near:
+            d, c, t = min(near)
+            free[u].remove((t, c))
+            want[i] = (c, d)
+    got = {r.purchase_id: (r.click_id, r.distance) for r in catalog.QUERIES["nearest_exclusive_greedy"](spark, DIR).collect()}
+    assert got == want and want
+
+
+def test_plan_has_the_published_digest(spark):
+    r = catalog.QUERIES["plan_digest"](spark, DIR).first()
+    assert (r.n, r.members, r.unpaired, r.digest) == (1566, 1566, 0, "78fae2b81bd302b841f4ff620ff073efd79e2e17b98971fc7b7cbd70b09ce88a")
+
+
+def test_damage_within_the_budget_is_always_mended(spark):
+    rows = catalog.QUERIES["damage_sweep"](spark, DIR).collect()
+    assert len(rows) == 36 and all((r.success == 1.0) if r.load <= r.parity else (r.success == 0.0) for r in rows)
