@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import join_unique
-from .text import ALNUM, LOWER, Words, blocks, raw
+from .text import ALNUM, LOWER, Words, blocks, raw, same_bytes
 
 #: Fixed value: a word, after lower-casing A-Z.
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -84,11 +84,7 @@ class TestSet:
             same[same] = self.hashes[k[same]] == w.hashes[may[same]]
             may, k = may[same], k[same]
             equal = self.sizes[k] == w.sizes[may]
-            at, word, size = w.starts[may[equal]], k[equal], w.sizes[may[equal]]
-            inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-            byte = LOWER[w.data[inner + np.repeat(at, size)]] == self.bytes[inner + np.repeat(self.at[word], size)]
-            if len(size):
-                equal[equal] = np.logical_and.reduceat(byte, np.cumsum(size) - size)
+            equal[equal] = same_bytes(w.data, w.starts[may[equal]], self.bytes, self.at[k[equal]], w.sizes[may[equal]], LOWER)
             out[may[equal]] = k[equal] + 1
             may, k = may[~equal], k[~equal] + 1
         return out

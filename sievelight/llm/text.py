@@ -46,15 +46,36 @@ def factors(n: int) -> np.ndarray:
     return _factors[0]
 
 
-def run_hashes(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run of byte values (0: a byte that doesn't count): the sum of value times the factor of its
-    place in the run. Two given runs collide with a probability of about 2**-63 over the factors, whatever their bytes."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    place = np.arange(starts[0], len(values)) - np.repeat(starts, np.diff(np.append(starts, len(values))))
-    longest = int(sizes.max())
-    np.minimum(place, longest, out=place)
-    return mix(np.add.reduceat(values[starts[0] :] * factors(longest + 1)[place], starts - starts[0]))
+def portions(sizes: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of items of about `most` bytes in all, so that working arrays stay small however large a text is."""
+    return blocks(np.concatenate([[0], np.cumsum(sizes)]), most)
+
+
+def run_hashes(table: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of bytes: the sum, over the places in the run, of the byte's value times the factor of
+    the place. Two given runs collide with a probability of about 2**-63 over the factors, whatever their bytes."""
+    out = np.empty(len(starts), np.uint64)
+    for i, j in portions(sizes):
+        at, size = starts[i:j], sizes[i:j]
+        ends = np.cumsum(size)
+        place = np.arange(int(ends[-1])) - np.repeat(ends - size, size)
+        terms = factors(int(size.max()))[place]
+        place += np.repeat(at, size)
+        terms *= table[data[place]]
+        out[i:j] = np.add.reduceat(terms, ends - size)
+    return mix(out)
+
+
+def same_bytes(a: np.ndarray, at: np.ndarray, b: np.ndarray, to: np.ndarray, sizes: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
+    """Whether a, from each of at on, has the bytes of b from each of to on; fold: a table that a is read through. No size is 0."""
+    out = np.empty(len(at), bool)
+    for i, j in portions(sizes):
+        size = sizes[i:j]
+        ends = np.cumsum(size)
+        inner = np.arange(int(ends[-1])) - np.repeat(ends - size, size)
+        left, right = a[inner + np.repeat(at[i:j], size)], b[inner + np.repeat(to[i:j], size)]
+        out[i:j] = np.logical_and.reduceat((left if fold is None else fold[left]) == right, ends - size)
+    return out
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -92,8 +113,7 @@ class Words:
         base = int(offsets[i])
         self.data = data[base : int(offsets[j])]
         self.docs = offsets[i : j + 1] - base
-        values = table[self.data]
-        inside = values != 0
+        inside = (table != 0)[self.data]
         begins = inside.copy()
         if kinds is None:
             begins[1:] &= ~inside[:-1]
@@ -105,7 +125,7 @@ class Words:
         self.inside, self.starts = inside, np.flatnonzero(begins)
         self.first = np.searchsorted(self.starts, self.docs)
         self.sizes = np.add.reduceat(inside, self.starts, dtype=np.int64) if len(self.starts) else np.zeros(0, np.int64)
-        self.hashes = run_hashes(values, self.starts, self.sizes)
+        self.hashes = run_hashes(table, self.data, self.starts, self.sizes)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)

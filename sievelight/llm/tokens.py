@@ -15,12 +15,12 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from .text import blocks, raw, run_hashes
+from .text import blocks, raw, run_hashes, same_bytes
 
 DEFAULT_FILE = "byte_bpe_50k.json"
-TABLE_BITS = 20
-POOL_IDS = 6_000_000
-POOL_BYTES = 12_000_000
+TABLE_BITS = 19
+POOL_IDS = 3_000_000
+POOL_BYTES = 6_000_000
 
 #: Classes of bytes: 0 white space, 1 letters, 2 digits, 3 others, 9 bytes that send the text to the tokenizer.
 _CLASS = np.full(256, 9, np.uint8)
@@ -94,10 +94,7 @@ class Encoder:
         hit = (self.keys[slot] == hashes) & (self.key_size[slot] == sizes)
         some = np.flatnonzero(hit)
         if len(some):
-            size = sizes[some]
-            inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-            same = data[inner + np.repeat(starts[some], size)] == self.key_pool[inner + np.repeat(self.key_at[slot[some]], size)]
-            hit[some] = np.logical_and.reduceat(same, np.cumsum(size) - size)
+            hit[some] = same_bytes(data, starts[some], self.key_pool, self.key_at[slot[some]], sizes[some])
         return hit
 
     def _add(self, pieces: list[bytes], hashes: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
@@ -147,7 +144,7 @@ class Encoder:
         starts = np.flatnonzero(begin)
         ends = np.append(starts[1:], len(data))
         sizes = ends - starts
-        hashes = run_hashes(_VALUES[data], starts, sizes)
+        hashes = run_hashes(_VALUES, data, starts, sizes)
         slot = (hashes & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)
         hit = self._found(data, starts, sizes, hashes, slot)
         size = np.where(hit, self.size[slot], 0).astype(np.int64)
