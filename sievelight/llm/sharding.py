@@ -4,10 +4,12 @@ Groups (rows of equal text) lie on a line in the order of their digest, each as
 capacity for which the greedy cut needs no more than n shards is found by binary search, and the line is cut there.
 The driver never sees the groups: it searches over a summary of a bounded number of intervals of the line, which
 brackets the capacity from both sides, and has only the intervals refined that a greedy cut within the bracket can
-meet, until none is open.
+meet, until none is open. Any cuts that keep the least capacity are equally good for the largest shard; of them those
+near even shares are taken, as the greedy ones leave all the slack to the last shard.
 
 A group larger than an even share of what remains takes a shard of its own, as no shard with it can be smaller; the
-others are cut over the shards that are left.
+others are cut over the shards that are left. So the partition is contiguous on the line without those groups (at most
+n - 1 of them), not on the whole line.
 
 Defined cases: a null text has no bytes, checksum 0, and forms one group with other null texts, apart from empty texts;
 equal rows stay together; no rows, no result; with fewer groups than shards some shards stay empty; other columns are
@@ -51,6 +53,23 @@ def _least(total: int, shards: int, floor: int, low: np.ndarray, high: np.ndarra
     return a
 
 
+def _spread(cap: int, total: int, shards: int, known: np.ndarray) -> list[int]:
+    """Ends near even shares, none further than the capacity from the one before; `known` are the group ends that may be cut at."""
+    least = [total]  # from here on the shards that are left suffice
+    for _ in range(shards - 1):
+        need = least[-1] - cap
+        least.append(0 if need <= 0 else int(known[np.searchsorted(known, need)]))
+    at, ends = 0, []
+    for k, from_ in enumerate(reversed(least)):
+        even = at + (total - at) // (shards - k)
+        i = int(np.searchsorted(known, even, "right"))
+        near = min((int(x) for x in known[max(i - 1, 0) : i + 1]), key=lambda x: abs(x - even), default=at)
+        i = int(np.searchsorted(known, at + cap, "right")) - 1
+        at = max(at, from_, min(near, int(known[i]) if i >= 0 else at))
+        ends.append(at)
+    return ends
+
+
 def minimax_cuts(groups: DataFrame, end: Column, total: int, largest: int, shards: int, intervals: int = INTERVALS) -> tuple[int, list[int]]:
     """The least capacity and the ends of the shards; `end` is a group's end on the line."""
 
@@ -75,7 +94,7 @@ def minimax_cuts(groups: DataFrame, end: Column, total: int, largest: int, shard
             if len(some):
                 ranges.append((int(low[some[0]]), int(high[some[-1]])))
         if not ranges:
-            return sure, _chain(sure, total, shards, low, high, False)
+            return sure, _spread(sure, total, shards, np.unique(np.concatenate([low, high])))
         merged: list[tuple[int, int]] = []
         for a, b in sorted(ranges):
             if merged and a <= merged[-1][1]:

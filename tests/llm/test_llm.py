@@ -461,7 +461,20 @@ def test_minimax_is_least(spark):
         return n <= 7
 
     assert cap == min(c for c in range(max(sizes), int(ends[-1]) + 1) if fits(c))
-    assert max(np.diff([0, *cuts])) <= cap and set(cuts) <= set(ends.tolist())
+    assert max(np.diff([0, *cuts])) <= cap and set(cuts) <= set(ends.tolist()) and len(cuts) == 7
+    assert min(np.diff([0, *cuts])) >= ends[-1] / 7 - max(sizes), "no shard gets all the slack"
+
+
+@pytest.mark.parametrize("seed", range(200))
+def test_spread_keeps_the_least_capacity(seed):
+    """Cuts at the given ends only, in order, none over the capacity, whatever the sizes; the line is used up."""
+    r = np.random.default_rng(seed)
+    ends = np.cumsum(r.integers(1, r.choice([3, 50, 5000]), int(r.integers(1, 60))))
+    shards, total = int(r.integers(1, 12)), int(ends[-1])
+    cap = sharding._least(total, shards, int(np.diff([0, *ends]).max()), ends, ends, False)
+    cuts = sharding._spread(cap, total, shards, ends)
+    assert len(cuts) == shards and cuts[-1] == total and cuts == sorted(cuts)
+    assert max(np.diff([0, *cuts])) <= cap and set(cuts) <= {0, *ends.tolist()}
 
 
 def test_the_grid_skips_blocks_and_loses_nothing():
