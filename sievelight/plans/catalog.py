@@ -607,4 +607,4 @@ def stream_first(spark, sf_dir):
 
 
 # queries of the other modules register themselves
-from . import codec, policies, signals  # noqa: E402, F401
+from . import codec, composites, policies, signals  # noqa: E402, F401
