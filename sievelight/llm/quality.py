@@ -6,14 +6,14 @@ two for each n-gram, shrunk as if it had `PRIOR` more of ratio 1. Weights are di
 added, and the k documents with the largest sums are kept: a sample without replacement with chances in proportion to
 exp(weight / temperature).
 
-k is ceil(keep * number of documents with n-grams). With keep None the share is estimated on the labelled sample: the
-share of labelled documents whose weight is no less than that which all but `TAIL` of the good ones left out of the fit
-reach, so that k is about the number of documents that are like the target.
+k is ceil(keep * number of documents with n-grams). With keep None the share is that of the labelled documents whose
+weight is no less than that which all but `TAIL` of the good ones left out of the fit reach (at least the lowest of them
+does), so that k is about the number of documents that are like the target.
 
-The noise of a document comes from a hash of its id, so a task that runs again gives the same sample. Labels are read on a
-sample of at most `label_rows` rows, in the order of a hash (their ids are broadcast): four fifths of the good ones
-fit the target model, and all of them but those fitted on give the share; the raw model counts every document. Counts
-leave each partition as one row per bucket in use.
+The noise of a document comes from a hash of its id, so a task that runs again gives the same sample. All labels are read:
+four fifths of the good ones, by a hash of their ids, fit the target model, and all labelled documents but those fitted on
+give the share; the raw model counts every document. Labels are never broadcast: of the texts only those that may be
+fitted on are shuffled, to be counted for the target. Counts leave each partition as one row per bucket in use.
 
 The k-th key is found by a global ranking of ids and keys alone; equal keys at that place are all kept.
 
@@ -33,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import matching
 from .tables import bound_batches, prefix_sums, store
 from .text import KINDS, TOKENS, Words, blocks, raw
 
 BUCKETS = 10_000
-LABEL_ROWS = 40_000
 KEEP: float | None = None
 TEMPERATURE = 0.01
 PRIOR = 16
@@ -54,38 +54,38 @@ def _grams(data: np.ndarray, offsets: np.ndarray, i: int, j: int, buckets: int)
     return number.astype(np.int64), np.concatenate([doc, np.repeat(np.arange(j - i), np.diff(at))])
 
 
-def labelled(labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality", rows: int = LABEL_ROWS) -> DataFrame:
-    """A bounded sample of the labelled ids in the order of a hash: _id, _good and _fit (a good one to fit on)."""
+def labelled(labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """All labelled ids, once each: _id, _good and _fit (a good one to fit on)."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.max(label_col) == 1).alias("_good"))
-    some = known.orderBy(F.xxhash64("_id", F.lit("target")), "_id").limit(rows)
-    return some.withColumn("_fit", F.col("_good") & (F.pmod(F.xxhash64("_id", F.lit("fit")), F.lit(5)) != 0))
+    return known.withColumn("_fit", F.col("_good") & (F.pmod(F.xxhash64("_id", F.lit("fit")), F.lit(5)) != 0))
 
 
-def fit(docs: DataFrame, sample: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> np.ndarray:
-    """Log ratio of each bucket's probability in the target to that in the raw text; sample: see labelled()."""
-    bound_batches(docs.sparkSession)
-    chosen = sample.where("_fit").select("_id", F.lit(True).alias("_target"))
-    flagged = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id", "left")
+def _counts(texts: DataFrame, buckets: int) -> np.ndarray:
+    """How often each bucket is in the only column of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        n = np.zeros(buckets, np.int64)
         for batch in batches:
             data, offsets = raw(batch.column(0))
-            mark = batch.column(1).fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
             for i, j in blocks(offsets):
-                number, doc = _grams(data, offsets, i, j, buckets)
-                every += np.bincount(number, minlength=buckets)
-                target += np.bincount(number[mark[i:j][doc]], minlength=buckets)
-        used = np.flatnonzero(every)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(every[used]), pa.array(target[used])], names=["bucket", "n", "t"])
-
-    counts = flagged.select("_text", "_target").mapInArrow(run, "bucket long, n long, t long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect()
-    every, target = np.zeros(buckets), np.zeros(buckets)
-    for r in counts:
-        every[r.bucket], target[r.bucket] = r.n, r.t
+                n += np.bincount(_grams(data, offsets, i, j, buckets)[0], minlength=buckets)
+        used = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used])], names=["bucket", "n"])
+
+    out = np.zeros(buckets)
+    for r in texts.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        out[r.bucket] = r.n
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> np.ndarray:
+    """Log ratio of each bucket's probability in the target to that in the raw text; labels: see labelled()."""
+    bound_batches(docs.sparkSession)
+    chosen = labels.where("_fit").select(F.col("_id").cast(docs.schema[id_col].dataType).alias(id_col))
+    target = _counts(matching(docs.select(id_col, text_col), chosen, id_col).select(text_col), buckets)
     if not target.sum():
         return np.zeros(buckets)
-    p, q = target + SMOOTHING, every + SMOOTHING
+    p, q = target + SMOOTHING, _counts(docs.select(text_col), buckets) + SMOOTHING
     return np.log(p / p.sum()) - np.log(q / q.sum())
 
 
@@ -120,15 +120,22 @@ def _keyed(scored: DataFrame, id_col: str, temperature: float, seed: int) -> Dat
     return scored.withColumn("sample_key", F.round(F.col("log_weight") / temperature + gumbel(F.col(id_col).cast("string"), seed), 6))
 
 
-def share(scored: DataFrame, sample: DataFrame, *, id_col: str, tail: float = TAIL) -> float:
+def _at_rank(values: DataFrame, column: str, order: Column, rank: int) -> float:
+    """The value at a place, from 0 on, by a global ranking."""
+    ranked = prefix_sums(values.select(column), [order], {"rank": F.lit(1)}, "ranks")
+    return ranked.where(F.col("rank") == rank).first()[column]
+
+
+def share(scored: DataFrame, labels: DataFrame, *, id_col: str, tail: float = TAIL) -> float:
     """The share of the labelled documents that were left out of the fit, and the bad ones, that are like the target."""
-    seen = sample.select(F.col("_id").alias(id_col), "_good", "_fit")
-    known = scored.where("log_weight is not null").join(F.broadcast(seen), id_col).select("log_weight", "_good", "_fit")
-    fair = F.when(F.col("_good"), 1).otherwise(0)
-    low, good, fitted, n = known.agg(F.percentile(F.when(F.col("_good") & ~F.col("_fit"), F.col("log_weight")), F.lit(tail)), F.sum(fair), F.count_if("_fit"), F.count("*")).first()
-    if not n or low is None:
+    seen = labels.select(F.col("_id").alias(id_col), "_good", "_fit")
+    known = store(scored.where("log_weight is not null").select(id_col, "log_weight").join(seen, id_col).select("log_weight", "_good", "_fit"), "known")
+    good, fitted, n = known.agg(F.count_if("_good"), F.count_if("_fit"), F.count("*")).first()
+    if good == fitted:
         return 1.0
-    like_good, like_bad = known.where(F.col("log_weight") >= low).agg(F.count_if(F.col("_good") & ~F.col("_fit")), F.count_if(~F.col("_good"))).first()
+    left_out = F.col("_good") & ~F.col("_fit")
+    low = _at_rank(known.where(left_out), "log_weight", F.asc("log_weight"), math.floor(tail * (good - fitted)))
+    like_good, like_bad = known.where(F.col("log_weight") >= low).agg(F.count_if(left_out), F.count_if(~F.col("_good"))).first()
     return (good * like_good / (good - fitted) + like_bad) / n
 
 
@@ -138,27 +145,26 @@ def threshold(keyed: DataFrame, keep: float) -> float:
     k = math.ceil(min(1.0, keep) * some.count())
     if not k:
         return math.inf
-    ranked = prefix_sums(some.select("sample_key"), [F.desc("sample_key")], {"rank": F.lit(1)}, "ranks")
-    return ranked.where(F.col("rank") == k - 1).first().sample_key
+    return _at_rank(some, "sample_key", F.desc("sample_key"), k - 1)
 
 
-def _sampled(docs: DataFrame, labels: DataFrame, keep: float | None, temperature: float, seed: int, id_col: str, text_col: str, label_col: str, label_rows: int, buckets: int) -> tuple[DataFrame, float, np.ndarray]:
-    sample = store(labelled(labels, id_col=id_col, label_col=label_col, rows=label_rows), "labelled")
-    ratios = fit(docs, sample, id_col=id_col, text_col=text_col, buckets=buckets)
+def _sampled(docs: DataFrame, labels: DataFrame, keep: float | None, temperature: float, seed: int, id_col: str, text_col: str, label_col: str, buckets: int) -> tuple[DataFrame, float, np.ndarray]:
+    known = store(labelled(labels, id_col=id_col, label_col=label_col), "labelled")
+    ratios = fit(docs, known, id_col=id_col, text_col=text_col, buckets=buckets)
     scored = score(docs.select(id_col, text_col), ratios, id_col=id_col, text_col=text_col).drop(text_col)
     keyed = store(_keyed(scored, id_col, temperature, seed), "scores")
-    return keyed, threshold(keyed, share(keyed, sample, id_col=id_col) if keep is None else keep), ratios
+    return keyed, threshold(keyed, share(keyed, known, id_col=id_col) if keep is None else keep), ratios
 
 
-def resample(docs: DataFrame, labels: DataFrame, *, keep: float | None = KEEP, temperature: float = TEMPERATURE, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", label_rows: int = LABEL_ROWS, buckets: int = BUCKETS) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, *, keep: float | None = KEEP, temperature: float = TEMPERATURE, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", buckets: int = BUCKETS) -> DataFrame:
     """Per document: id, log_weight, n_grams, sample_key, kept."""
-    keyed, key, _ = _sampled(docs, labels, keep, temperature, seed, id_col, text_col, label_col, label_rows, buckets)
+    keyed, key, _ = _sampled(docs, labels, keep, temperature, seed, id_col, text_col, label_col, buckets)
     return keyed.withColumn("kept", F.coalesce(F.col("sample_key") >= F.lit(key), F.lit(False)))
 
 
-def filter_documents(docs: DataFrame, labels: DataFrame, *, keep: float | None = KEEP, temperature: float = TEMPERATURE, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", label_rows: int = LABEL_ROWS, buckets: int = BUCKETS) -> DataFrame:
+def filter_documents(docs: DataFrame, labels: DataFrame, *, keep: float | None = KEEP, temperature: float = TEMPERATURE, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", buckets: int = BUCKETS) -> DataFrame:
     """The sampled documents with their own columns; texts are read again rather than shuffled."""
-    _, key, ratios = _sampled(docs, labels, keep, temperature, seed, id_col, text_col, label_col, label_rows, buckets)
+    _, key, ratios = _sampled(docs, labels, keep, temperature, seed, id_col, text_col, label_col, buckets)
     own = {c: f"_c{k}" for k, c in enumerate(docs.columns)}
     hidden = docs.select(*(F.col(c).alias(own[c]) for c in docs.columns))
     scored = _keyed(score(hidden, ratios, id_col=own[id_col], text_col=own[text_col]), own[id_col], temperature, seed)

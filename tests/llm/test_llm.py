@@ -316,6 +316,21 @@ def test_quality(spark, docs, empty):
     assert quality.filter_documents(empty, labels).count() == 0 and quality.filter_documents(docs, labels.limit(0)).count() == docs.where("length(trim(text)) > 0").count()
 
 
+def test_quality_reads_all_labels(spark):
+    labels = spark.range(50_000).select(F.col("id").cast("int").alias("doc_id"), F.lit(1).alias("quality"))
+    known = quality.labelled(labels)
+    assert known.count() == 50_000
+    texts = {k: f"a{k % 7} b{k % 11}" for k in range(0, 50_000, 25)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    chosen = {r._id for r in known.where("_fit").collect()} & set(texts)
+    _, want = brute_ratios(list(texts.values()), {n for n, k in enumerate(texts) if k in chosen}, 500)
+    assert quality.fit(df, known, buckets=500) == pytest.approx(want)
+    # one of three documents left out of the fit is the least; none of the three is beyond the tail
+    scored = spark.createDataFrame([(1, 0.1), (2, 0.2), (3, 0.3), (4, 0.05), (5, None)], "doc_id long, log_weight double")
+    seen = spark.createDataFrame([(1, True, False), (2, True, False), (3, True, False), (4, False, False), (5, True, False)], "_id long, _good boolean, _fit boolean")
+    assert quality.share(scored, seen, id_col="doc_id") == 0.75
+
+
 def test_quality_sample_has_the_chances_of_its_weights(spark):
     df = spark.createDataFrame([(k, f"{'good' if k % 2 else 'other'} word") for k in range(20)], "doc_id long, text string")
     weight = {0: -0.035, 1: 0.0}
