@@ -22,15 +22,15 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     once; adaptive execution splits those. Minima are aggregated before the shuffle.
     """
     both = links.where("a <> b").select("a", "b")
-    both = store(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}_links")
-    label = store(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("c")), name)
+    both = store(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}_links", few=True)
+    label = store(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("c")), name, few=True)
     while True:
         seen = both.join(label.select(F.col("v").alias("b"), "c"), "b").groupBy(F.col("a").alias("v")).agg(F.min("c").alias("m"))
         near = seen.join(label, "v").where("m < c")
         better = near.select("v", "m").unionByName(near.select(F.col("c").alias("v"), "m")).groupBy("v").agg(F.min("m").alias("m"))
         hooked = label.join(better, "v", "left").select("v", F.least("c", F.coalesce("m", "c")).alias("c"), F.col("c").alias("old"))
         root = hooked.select(F.col("v").alias("c"), F.col("c").alias("root"))
-        moved = store(hooked.join(root, "c").select("v", F.col("root").alias("c"), (F.col("root") < F.col("old")).alias("moved")), name)
+        moved = store(hooked.join(root, "c").select("v", F.col("root").alias("c"), (F.col("root") < F.col("old")).alias("moved")), name, few=True)
         label = moved.select("v", "c")
         if not moved.where("moved").limit(1).count():
             return label

@@ -163,11 +163,11 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """Per row of docs: id, n_shingles, component_id (smallest id reachable), kept."""
     rows = store(signatures(docs, id_col=id_col, text_col=text_col, k=k), "signatures")
     full = rows.where("n > 0")
-    sets = store(full.groupBy("n", "f0", "f1").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), *(F.first(s).alias(s) for s in _ALL)).where("rep is not null"), "sets")
+    sets = store(full.groupBy("n", "f0", "f1").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), *(F.first(s).alias(s) for s in _ALL)).where("rep is not null"), "sets", few=True)
 
     member = sets.select(F.explode("bands").alias("key"), "rep")
     heads = member.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("rep", "key"), "rep")).alias("h")).where("size > 1")
-    buckets = store(member.join(heads.select("key", "size", F.col("h.rep").alias("head")), "key"), "buckets")
+    buckets = store(member.join(heads.select("key", "size", F.col("h.rep").alias("head")), "key"), "buckets", few=True)
     crowd = buckets.groupBy("rep").agg(F.sum("size").alias("crowd"))
     central = buckets.join(crowd, "rep").groupBy("key").agg(F.max(F.struct("crowd", F.xxhash64("rep"), "rep")).alias("m"))
     central = buckets.select("key", "rep").join(central.select("key", F.col("m.rep").alias("head")), "key")
@@ -182,11 +182,11 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         F.min(F.struct("d", "a", "b")).alias("p"), F.min(F.struct(-F.col("mid"), "d", "a", "b")).alias("q"), F.min(F.struct("d", F.xxhash64("a", "b"), "a", "b")).alias("r")
     )
     chosen = F.array(*(F.struct(f"{x}.a", f"{x}.b") for x in "pqr"))
-    first = store(best.select(F.explode(chosen).alias("p")).select("p.*").distinct(), "first")
+    first = store(best.select(F.explode(chosen).alias("p")).select("p.*").distinct(), "first", few=True)
 
     keys = buckets.select(F.col("rep").alias("id")).distinct()
-    whole = store(full_sets(docs, keys, id_col=id_col, text_col=text_col, k=k), "full_sets")
-    links = store(_confirm(first, whole, percent), "links")
+    whole = store(full_sets(docs, keys, id_col=id_col, text_col=text_col, k=k), "full_sets", few=True)
+    links = store(_confirm(first, whole, percent), "links", few=True)
     joined = components(links)
 
     # what is left between components within a bucket
@@ -195,14 +195,14 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     mixed = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum("size").alias("all"), F.max(F.struct("size", "c")).alias("m")).where("parts > 1")
     mixed = mixed.select("key", F.col("m.c").alias("main"), F.ceil(F.sqrt(F.col("all") / SLICE)).cast("int").alias("slices"))
     open_ = placed.join(mixed, "key").join(sets.select("rep", "n", *_ALL), "rep")
-    open_ = store(open_, "open")
+    open_ = store(open_, "open", few=True)
     # a large bucket is dealt over slices of either side, so that no task compares more than about SLICE * SLICE pairs of a key
     own, every = F.expr("int(pmod(xxhash64(rep), slices))"), F.explode(F.expr("sequence(0, slices - 1)"))
     side = lambda x, mine, theirs: open_.withColumn(mine, own).withColumn(theirs, every).select("key", "i", "j", "main", *(F.col(c).alias(f"{x}{c}") for c in ("rep", "c", "n", *_ALL)))
     minor, other = side("a", "i", "j").where("ac <> main"), side("b", "j", "i").drop("main")
     across = minor.join(other, (minor["key"] == other["key"]) & (minor["i"] == other["i"]) & (minor["j"] == other["j"]) & (F.col("ac") != F.col("bc")) & ((F.col("bc") == F.col("main")) | (F.col("arep") < F.col("brep"))) & similar)
     across = across.select(F.least("arep", "brep").alias("a"), F.greatest("arep", "brep").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = store(_confirm(across, whole, percent), "more_links")
+    more = store(_confirm(across, whole, percent), "more_links", few=True)
     if more.limit(1).count():
         joined = components(links.unionByName(more), "components2")
 
@@ -222,7 +222,7 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     shingles of one of them (see full_sets), so links can be lost or made wrongly.
     """
     found = classes(docs, id_col=id_col, text_col=text_col, k=k, percent=percent)
-    drop = store(found.where("not kept").select(F.col("id").alias("_drop")), "drop")
+    drop = store(found.where("not kept").select(F.col("id").alias("_drop")), "drop", few=True)
     own = {c: f"_c{k}" for k, c in enumerate(docs.columns)}
     keyed = docs.select(*(F.col(c).alias(own[c]) for c in docs.columns), F.col(id_col).cast("long").alias("_drop"))
     return matching(keyed, drop, "_drop", invert=True).select(*(F.col(own[c]).alias(c) for c in docs.columns))

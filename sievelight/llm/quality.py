@@ -122,14 +122,14 @@ def _keyed(scored: DataFrame, id_col: str, temperature: float, seed: int) -> Dat
 
 def _at_rank(values: DataFrame, column: str, order: Column, rank: int) -> float:
     """The value at a place, from 0 on, by a global ranking."""
-    ranked = prefix_sums(values.select(column), [order], {"rank": F.lit(1)}, "ranks")
+    ranked = prefix_sums(values.select(column), [order], {"rank": F.lit(1)}, "ranks", few=True)
     return ranked.where(F.col("rank") == rank).first()[column]
 
 
 def share(scored: DataFrame, labels: DataFrame, *, id_col: str, tail: float = TAIL) -> float:
     """The share of the labelled documents that were left out of the fit, and the bad ones, that are like the target."""
     seen = labels.select(F.col("_id").alias(id_col), "_good", "_fit")
-    known = store(scored.where("log_weight is not null").select(id_col, "log_weight").join(seen, id_col).select("log_weight", "_good", "_fit"), "known")
+    known = store(scored.where("log_weight is not null").select(id_col, "log_weight").join(seen, id_col).select("log_weight", "_good", "_fit"), "known", few=True)
     good, fitted, n = known.agg(F.count_if("_good"), F.count_if("_fit"), F.count("*")).first()
     if good == fitted:
         return 1.0
@@ -149,7 +149,7 @@ def threshold(keyed: DataFrame, keep: float) -> float:
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, keep: float | None, temperature: float, seed: int, id_col: str, text_col: str, label_col: str, buckets: int) -> tuple[DataFrame, float, np.ndarray]:
-    known = store(labelled(labels, id_col=id_col, label_col=label_col), "labelled")
+    known = store(labelled(labels, id_col=id_col, label_col=label_col), "labelled", few=True)
     ratios = fit(docs, known, id_col=id_col, text_col=text_col, buckets=buckets)
     scored = score(docs.select(id_col, text_col), ratios, id_col=id_col, text_col=text_col).drop(text_col)
     keyed = store(_keyed(scored, id_col, temperature, seed), "scores")

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievelight.llm import chat, decontamination, embeddings, graph, language, neardup, packing, quality, sharding, toxicity, urls
+from sievelight.llm.tables import store
 from sievelight.llm.text import ALNUM, NONSPACE, Words, distinct, raw
 from sievelight.llm.tokens import encoder
 
@@ -547,3 +548,25 @@ def test_pipeline_stages_keep_the_columns(spark, docs, tmp_path):
     assert 2 in kept[2] and 2 not in kept[3] and kept[3] >= set(range(3, len(BASE)))
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in pieces} == kept[3]
+
+
+def test_pipeline_learns_quality_from_labels_beyond_any_sample(spark, tmp_path):
+    import corpus_pipeline
+
+    # the documents are those whose labels come last in the order by which labels were once cut off at 40,000
+    last = [r.id for r in spark.range(41_000).orderBy(F.xxhash64("id", F.lit("target")), "id").collect()[40_200:]]
+    bad = set(last[::4])
+    spark.range(41_000).select(F.col("id").alias("doc_id"), F.when(F.col("id").isin(bad), 0).otherwise(1).alias("quality")).write.parquet(str(tmp_path / "labels.parquet"))
+    rows = [(k, "buy now!! $$$ " * 30 if k in bad else prose(60)) for k in last]
+    kept = {r.doc_id for r in corpus_pipeline.quality_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()}
+    assert not kept & bad and len(kept) >= 590
+
+
+def test_tables_of_ids_are_stored_in_few_files(spark):
+    many = spark.range(0, 200, 1, 100)
+    count = lambda df: len(df.inputFiles())
+    few, all_ = store(many, "test", few=True), store(many, "test")
+    assert count(few) <= 12 < count(all_) == 100 and sorted(r.id for r in few.collect()) == list(range(200))
+    links = spark.range(400).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).repartition(100, "a")
+    found = graph.components(links)
+    assert count(found) <= 12 and {r.c for r in found.collect()} == {0}
