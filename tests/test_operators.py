@@ -99,3 +99,30 @@ def test_strict_json():
     assert check('{"id":1,"id":2,"name":"x"}', kinds)[1] == "DUPLICATE_KEY id"
     assert check('{"id":true,"name":"x"}', kinds)[1] == "TYPE id"
     assert check('{"id":1}', kinds)[1] == "KEY_SET" and check("{", kinds)[1] == "NOT_JSON" and check(None, kinds)[1] == "NOT_JSON"
+
+
+@pytest.mark.parametrize("last_wins", [False, True])
+def test_best_overlap_is_that_of_brute_force_in_blocks(spark, last_wins):
+    import random
+
+    r = random.Random(3)
+    span = lambda most: (lambda a: (a, a + r.choice([0, 1, 3, 7, r.randint(1, most)])))(r.randint(-40, 200))
+    lefts = [(k, *span(240)) for k in range(300)] + [(300, None, 5), (3, *span(50))]
+    rights = [(k, *span(60)) for k in range(400)] + [(400 + k, 50, 50 + k % 20) for k in range(80)] + [(900, 7, None)]
+    want = {}
+    for i, lo, hi in lefts:
+        for j, a, b in rights:
+            if None not in (lo, hi, a, b) and lo < hi and a < b and (o := min(hi, b) - max(lo, a)) > 0:
+                want[i] = max(want.get(i, (0, 0)), (o, j if last_wins else -j)) if i in want else (o, j if last_wins else -j)
+    x, y = (spark.createDataFrame(rows, f"{n} long, lo long, hi long") for rows, n in ((lefts, "lid"), (rights, "rid")))
+    for sizes in ({}, {"block": 50, "slice_": 40}):
+        got = {q.lid: (q.overlap, q.rid if last_wins else -q.rid) for q in matching.best_overlap(x, y, left_id="lid", right_id="rid", lo="lo", hi="hi", last_wins=last_wins, **sizes).collect()}
+        assert got == want
+    assert matching.best_overlap(x, y.limit(0), left_id="lid", right_id="rid", lo="lo", hi="hi").count() == 0
+
+
+def test_best_overlap_makes_no_pairs(spark):
+    x = spark.range(30_000).select(F.col("id").alias("lid"), (F.col("id") % 50).alias("lo"), (F.lit(10_000_000) + F.col("id")).alias("hi"))
+    y = spark.range(60_000).select(F.col("id").alias("rid"), (F.col("id") * 160).alias("lo"), (F.col("id") * 160 + 3600 + F.col("id") % 7).alias("hi"))
+    got = matching.best_overlap(x, y, left_id="lid", right_id="rid", lo="lo", hi="hi", width=86400)  # 1.8 billion pairs
+    assert {(r.rid, r.overlap) for r in got.collect()} == {(6, 3606)} and got.count() == 30_000
