@@ -1,7 +1,8 @@
 """The training-data pipeline: five of the llm operators over `documents`, each on all that its predecessor kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written to the folder that the cluster shares
-and read again as the next stage's docs. All but the last return the columns of documents.
+and read again as the next stage's docs. All but the last return the columns of documents. Each begins with executors that
+have given back the heap that the stage before it needed.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.llm import decontamination, language, neardup, packing, quality
-from sievelight.llm.tables import store
+from sievelight.llm.tables import give_back, store
 
 #: Some stages can't be expressed in SQL (trained models, byte-pair ids); tests/llm/test_queries.py holds every stage
 #: against a plain computation on what its predecessor kept.
@@ -27,6 +28,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents sampled by importance resampling."""
+    give_back(spark)
     return quality.filter_documents(docs, _table(spark, sf_dir, "labels"))
 
 
@@ -38,6 +40,7 @@ def least_sure(told: DataFrame, id_col: str = "doc_id", lang_col: str = "lang")
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents with a letter whose language is told no less surely than nearly all that are told rightly."""
+    give_back(spark)
     net = language.learn(docs, language.remainder("doc_id", 5) != 0)
     own = {c: f"_c{k}" for k, c in enumerate(docs.columns)}
     told = store(language.identify(docs.select(*(F.col(c).alias(own[c]) for c in docs.columns)), net, text_col=own["text"]), "told")
@@ -47,16 +50,19 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies (shingles of five words, similarity 0.8)."""
+    give_back(spark)
     return neardup.deduplicate(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents without any benchmark passage of ten words."""
+    give_back(spark)
     return decontamination.clean(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the kept documents in sequences of 1024 tokens."""
+    give_back(spark)
     return packing.pack(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

@@ -570,3 +570,21 @@ def test_tables_of_ids_are_stored_in_few_files(spark):
     links = spark.range(400).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).repartition(100, "a")
     found = graph.components(links)
     assert count(found) <= 12 and {r.c for r in found.collect()} == {0}
+
+
+def test_every_stage_of_the_pipeline_begins_with_heap_given_back(spark, docs, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    runtime, gateway = spark._jvm.java.lang.Runtime.getRuntime(), spark.sparkContext._gateway
+    gateway.detach(gateway.new_array(spark._jvm.long, 40_000_000))  # garbage of 320 MB
+    held = runtime.totalMemory()
+    corpus_pipeline.give_back(spark)
+    assert held > 320_000_000 and runtime.totalMemory() < held - 160_000_000
+
+    spark.createDataFrame([(k, 1) for k in range(30)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, BASE[2])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    calls = []
+    monkeypatch.setattr(corpus_pipeline, "give_back", calls.append)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path))
+        assert len(calls) == k + 1, name
