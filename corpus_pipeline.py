@@ -20,6 +20,8 @@ from sievelight.llm.tables import give_back, store
 ORACLE_SQL: str | None = None
 #: This share of the labelled documents that the network wasn't fitted on, and told rightly, may be less sure than the bar.
 TAIL = 0.001
+#: From fewer of them no bar is taken: the least sure of a handful says nothing about a tail.
+FEWEST = 30
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,9 +35,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def least_sure(told: DataFrame, id_col: str = "doc_id", lang_col: str = "lang") -> float:
-    """The bar below which a language isn't told surely, from all labelled documents left out of the fit; 0 without any."""
+    """The bar below which a language isn't told surely, from all labelled documents left out of the fit; 0 if fewer than FEWEST are told rightly."""
     right = told.where((language.remainder(id_col, 5) == 0) & (F.col(lang_col) == F.col("lang_pred")))
-    return right.agg(F.percentile(F.floor(F.col("score") * 1000) / 1000, F.lit(TAIL))).first()[0] or 0.0
+    n, bar = right.agg(F.count("*"), F.percentile(F.floor(F.col("score") * 1000) / 1000, F.lit(TAIL))).first()
+    return bar if n >= FEWEST else 0.0
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

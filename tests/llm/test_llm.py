@@ -588,3 +588,12 @@ def test_every_stage_of_the_pipeline_begins_with_heap_given_back(spark, docs, tm
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         stage(spark, docs, str(tmp_path))
         assert len(calls) == k + 1, name
+
+
+def test_a_handful_of_documents_gives_no_bar(spark):
+    import corpus_pipeline
+
+    ids = [k for k in range(1000) if zlib.crc32(str(k).encode()) % 5 == 0]
+    told = lambda n: spark.createDataFrame([(k, "en", "en", 0.9 - 0.01 * i) for i, k in enumerate(ids[:n])], "doc_id long, lang string, lang_pred string, score double")
+    assert corpus_pipeline.least_sure(told(0)) == corpus_pipeline.least_sure(told(29)) == 0
+    assert corpus_pipeline.least_sure(told(30)) == pytest.approx(0.61, abs=0.002)
